@@ -24,6 +24,45 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out():
+    """Documents whose crc32 of the id leaves remainder 1 by 3 are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_language_model, predict_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs, ~held_out())
+    return predict_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def graded_ratings(labels: DataFrame) -> DataFrame:
+    """Three ordered grades: low quality, good but toxic, good and clean."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return labels.where("quality is not null").select("doc_id", grade.alias("grade"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, predict_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_quality(docs, fit_quality(graded_ratings(table(spark, sf_dir, "labels")), docs), tail=1)
+
+
+def toxicity_categories(labels: DataFrame) -> DataFrame:
+    """The chain's categories from the two labels: low quality, toxic, and both."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_low_quality"))
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, predict_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(toxicity_categories(table(spark, sf_dir, "labels")), docs, ["low_quality", "toxic", "toxic_low_quality"])
+    return predict_toxicity(docs, model, "toxic")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import cut_documents, pack_pieces
 
@@ -43,7 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_quality_classifier,
             op2_bpe_codec,
+            op4_language_id,
+            op6_toxicity_chain,
             op8_packing,
             op10_token_files,
         )
