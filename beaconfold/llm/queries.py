@@ -50,6 +50,20 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(docs, fit_quality(graded_ratings(table(spark, sf_dir, "labels")), docs), tail=1)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .llr_rules import gram_ratios, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(docs, gram_ratios(docs, trusted))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_neighbours
+
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def toxicity_categories(labels: DataFrame) -> DataFrame:
     """The chain's categories from the two labels: low quality, toxic, and both."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_low_quality"))
@@ -85,7 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_quality_classifier,
             op2_bpe_codec,
             op4_language_id,
+            op5_quality_rules,
             op6_toxicity_chain,
+            op7_fingerprints,
             op8_packing,
             op10_token_files,
         )
