@@ -85,6 +85,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(stored(digests, "pieces"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import NearDupParameters, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDupParameters(shingle=3, percent=85))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_bin import read_token_files, write_token_files
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_toxicity_chain,
             op7_fingerprints,
             op8_packing,
+            op9_near_duplicates,
             op10_token_files,
         )
     }
