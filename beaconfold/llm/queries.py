@@ -24,6 +24,12 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def held_out():
     """Documents whose crc32 of the id leaves remainder 1 by 3 are never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_quality_classifier,
             op2_bpe_codec,
+            op3_html_extraction,
             op4_language_id,
             op5_quality_rules,
             op6_toxicity_chain,
