@@ -151,3 +151,22 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, carry: list[s
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double"
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInPandas(run, schema)
+
+
+def recognised(docs: DataFrame, model: LanguageModel | None, least_score: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a known language with at least ``least_score``; all columns stay."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for texts in batches:
+            keep = np.array([m is not None and has_letter(t) for t in texts], bool)
+            at = np.flatnonzero(keep)
+            some = [texts.iat[i] for i in at]
+            for a, b in slices(some):
+                keep[at[a:b]] = m.predict(some[a:b])[1] >= least_score
+            yield pd.Series(keep)
+
+    return docs.where(known("text"))

@@ -38,8 +38,8 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class NearDupParameters:
-    shingle: int = 3
-    percent: int = 85  #: least similarity of linked documents, in hundredths
+    shingle: int = 5
+    percent: int = 80  #: least similarity of linked documents, in hundredths
     trees: int = 10
     signature: int = 96
     leaf: int = 256
@@ -341,3 +341,13 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     own = rows.select("doc_id", "n_shingles", "node").join(component, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return own.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
+    """The rows of ``docs`` that are kept, one of each group; all columns stay.
+
+    Repeated rows of one id and text are one document, of which one row stays.
+    """
+    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"])

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import filled, slices, small_batches
 from .hashed_text import Sparse, TokenCodes, adam, sampled_rows, sigmoid, sparse_rows, token_and_shape
@@ -119,32 +120,55 @@ def fit_quality(ratings: DataFrame, docs: DataFrame, grade: str = "grade", sampl
     return fit_ordinal(x, y, sorted(set(y.tolist())) or [0])
 
 
-_CODES: list[TokenCodes] = []
+class _Scorer:
+    """Expected grade and tail probability of lists of texts, with the scores of tokens met so far."""
+
+    def __init__(self, model: OrdinalModel, tail: int):
+        self.model, self.level = model, sum(g < tail for g in model.grades)
+        self.grades = np.array(model.grades, float)
+        self.store = TokenCodes(token_and_shape, BUCKETS)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        m, store = self.model, self.store
+        if len(store.codes) > store.keep:
+            store.reset()
+        tokens, ends = _tokens(texts)
+        codes = store.of(tokens)
+        score = _style(codes, ends) @ m.weights[BUCKETS:]
+        if len(codes):
+            score = score + _segment_sums(store.scored(m.weights[:BUCKETS, None])[:, 0][codes], ends) / np.maximum(1, np.diff(ends))
+        tails, n = m.tails(score), len(texts)
+        p = np.ones(n) if self.level == 0 else np.zeros(n) if self.level > tails.shape[1] else tails[:, self.level - 1]
+        return self.grades[0] + tails @ np.diff(self.grades), p
 
 
 def predict_quality(docs: DataFrame, model: OrdinalModel, tail: int, keep_at: float = 0.5) -> DataFrame:
     """``doc_id, expected_grade, p_tail, kept`` of every row of ``docs(doc_id, text)``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    level = sum(g < tail for g in model.grades)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        weights = m.weights[:BUCKETS, None]
-        store = TokenCodes(token_and_shape, BUCKETS)
-        grades = np.array(m.grades, float)
+        scorer = _Scorer(shared.value, tail)
         for pdf in batches:
             texts = filled(pdf["text"])
             for a, b in slices(texts):
-                if len(store.codes) > store.keep:
-                    store.reset()
-                tokens, ends = _tokens(texts[a:b])
-                codes = store.of(tokens)
-                score = _style(codes, ends) @ m.weights[BUCKETS:]
-                if len(codes):
-                    score = score + _segment_sums(store.scored(weights)[:, 0][codes], ends) / np.maximum(1, np.diff(ends))
-                tails = m.tails(score)
-                p = np.ones(b - a) if level == 0 else np.zeros(b - a) if level > tails.shape[1] else tails[:, level - 1]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "expected_grade": grades[0] + tails @ np.diff(grades), "p_tail": p, "kept": p >= keep_at})
+                grade, p = scorer.of(texts[a:b])
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "expected_grade": grade, "p_tail": p, "kept": p >= keep_at})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
+
+
+def selected(docs: DataFrame, model: OrdinalModel, tail: int, keep_at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model keeps; all columns stay."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _Scorer(shared.value, tail)
+        for column in batches:
+            texts = filled(column)
+            parts = [scorer.of(texts[a:b])[1] >= keep_at for a, b in slices(texts)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+    return docs.where(good("text"))
