@@ -93,7 +93,8 @@ def short_number(value: Column) -> Column:
 
 def percent_of(part: Column, whole: Column) -> Column:
     """Percentage, at most 100; 0 of nothing is 0."""
-    return F.coalesce(F.least(part.cast("double") * 100 / F.nullif(whole, F.lit(0)), F.lit(100.0)), F.lit(0.0))
+    share = part.cast("double") * 100 / F.nullif(whole, F.lit(0))
+    return F.when(share.isNull(), 0.0).otherwise(F.least(share, F.lit(100.0)))
 
 
 def text_bar(percent: Column, cells: int = 20) -> Column:

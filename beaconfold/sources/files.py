@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BENCH_RESULT, VECTOR
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """One row for each vector of a multi-line JSON document, with an explicit schema and its raw text."""
     document = T.StructType([T.StructField("test_vectors", T.ArrayType(VECTOR))])
@@ -31,7 +35,7 @@ def marked_json(spark: SparkSession, path: str, begin: str = "__BENCH_JSON_BEGIN
 
 def size_columns(lines: DataFrame) -> DataFrame:
     """``name, value`` pairs of a header line and a line of numbers in one text; values that aren't numbers go."""
-    cells = lambda at: F.split(F.trim(F.get(F.split("value", "\n"), F.lit(at))), r"\s+")
+    cells = lambda at: F.split(_stripped(F.get(F.split("value", "\n"), F.lit(at))), r"\s+")
     pairs = lines.select(F.inline(F.arrays_zip(cells(0).alias("name"), cells(1).alias("raw"))))
     return pairs.select("name", F.expr("try_cast(raw as bigint)").alias("value")).where("value is not null")
 
@@ -43,8 +47,8 @@ def exported_symbols(lines: DataFrame) -> DataFrame:
 
 def needed_libraries(lines: DataFrame) -> DataFrame:
     """Left sides of ``name => path`` lines, and the loader's own library."""
-    left = F.trim(F.split("value", "=>")[0])
-    first = F.split(F.trim("value"), r"\s+")[0]
+    left = _stripped(F.split("value", "=>")[0])
+    first = F.split(_stripped(F.col("value")), r"\s+")[0]
     return lines.select(F.when(F.contains("value", F.lit("=>")), left).when(F.contains("value", F.lit("linux-vdso")), first).alias("library")).where("library is not null")
 
 
