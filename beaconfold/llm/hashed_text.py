@@ -92,7 +92,7 @@ def sampled_rows(rated: DataFrame, docs: DataFrame, keys: list[str], limit: int)
 
 
 def sparse_rows(sample: DataFrame, columns: list[str], rows: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]) -> pd.DataFrame:
-    """Sparse features of a bounded sample on the driver, in the order of the id."""
+    """Sparse features of a bounded sample on the driver, packed as bytes, in the order of the id."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,22 +100,22 @@ def sparse_rows(sample: DataFrame, columns: list[str], rows: Callable[[list[str]
             texts = filled(pdf["text"])
             for a, b in slices(texts):
                 got = rows(texts[a:b])
-                yield pdf.iloc[a:b][["doc_id", *columns]].assign(idx=[i.astype(np.int32) for i, _ in got], val=[v.astype(np.float32) for _, v in got])
+                yield pdf.iloc[a:b][["doc_id", *columns]].assign(idx=[i.astype("<i4").tobytes() for i, _ in got], val=[v.astype("<f4").tobytes() for _, v in got])
 
     kinds = dict(sample.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *columns]) + ", idx array<int>, val array<float>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *columns]) + ", idx binary, val binary"
     return sample.mapInPandas(run, schema).toPandas().sort_values(["doc_id", *columns], kind="stable").reset_index(drop=True)
 
 
 class Sparse:
-    """Rows of a sparse matrix, for fitting on the driver."""
+    """Rows of a sparse matrix (packed 32-bit columns and values), for fitting on the driver."""
 
-    def __init__(self, idx: list[np.ndarray], val: list[np.ndarray], columns: int):
-        lengths = np.array([len(i) for i in idx], np.int64)
+    def __init__(self, idx: list[bytes], val: list[bytes], columns: int):
+        lengths = np.array([len(i) // 4 for i in idx], np.int64)
         self.n, self.columns = len(idx), columns
-        self.row = np.repeat(np.arange(self.n), lengths)
-        self.idx = np.concatenate([np.asarray(i, np.int64) for i in idx]) if idx else np.zeros(0, np.int64)
-        self.val = np.concatenate([np.asarray(v, np.float64) for v in val]) if val else np.zeros(0)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
+        self.idx = np.frombuffer(b"".join(map(bytes, idx)), "<i4")
+        self.val = np.frombuffer(b"".join(map(bytes, val)), "<f4")
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.idx], self.n)
