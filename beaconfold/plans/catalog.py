@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import conformance, events as ev, kpi, lifecycle, logs, registry as reg
 from ..schema import ALL_EVENTS, STATUS
-from ..sources.files import vectors
+from ..sources.files import parsed_vectors
 from ..sources.sinks import diagnostics
 from ..sources.tables import EVENT_NAMES, device_events, registry, subscriptions, table
 
@@ -308,7 +308,8 @@ def diag_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vector_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conformance.conformance(vectors(spark, str(Path(__file__).with_name("vectors.json"))))
+    text = Path(__file__).with_name("vectors.json").read_text(encoding="utf-8")
+    return conformance.conformance(parsed_vectors(spark.createDataFrame([(text,)], "value string")))
 
 
 @query(f"WITH {E}, {S} SELECT event_id, sub_id FROM e JOIN s ON (type & mask) <> 0")

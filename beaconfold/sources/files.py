@@ -14,9 +14,13 @@ def _stripped(text: Column) -> Column:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each vector of a multi-line JSON document, with an explicit schema and its raw text."""
+    """One row for each vector of the multi-line JSON documents at ``path``."""
+    return parsed_vectors(spark.read.text(path, wholetext=True))
+
+
+def parsed_vectors(raw: DataFrame) -> DataFrame:
+    """One row for each vector of the JSON documents in column ``value``, with an explicit schema and its raw text."""
     document = T.StructType([T.StructField("test_vectors", T.ArrayType(VECTOR))])
-    raw = spark.read.text(path, wholetext=True)
     both = raw.select(
         F.arrays_zip(
             F.from_json("value", document)["test_vectors"].alias("v"),
