@@ -108,6 +108,26 @@ def test_marked_articles(spark):
     assert [x.text for x in page_lines(PAGE) if x.region == 1] == ["Title & more", "First para graph x", "Second one", "i1", "i2"]
 
 
+@pytest.mark.parametrize(
+    "markup, kept",
+    [
+        ('<article class="post has-sidebar"><p>x</p></article>', True),
+        ('<div class="site-footer"><p>x</p></div>', False),
+        ('<div class="related-posts"><p>x</p></div>', False),
+        ('<section id="reader-comments"><p>x</p></section>', False),
+        ('<div role="dialog"><p>x</p></div>', False),
+        ('<p style="display: none">x</p>', False),
+        ('<div class="entry"><p>x</p></div>', True),
+        ('<div class="page-header"><p>x</p></div>', False),
+        ('<article><div class="entry-header"><p>x</p></div></article>', True),
+        ("<select><option>x</select><button>x</button><textarea>x</textarea><!-- x --><style>x</style>", False),
+    ],
+)
+def test_regions(markup, kept):
+    assert [x.region != 0 for x in page_lines(f"<body>{markup}</body>")] == [True] * kept or not kept
+    assert kept or all(x.region == 0 for x in page_lines(f"<body>{markup}</body>"))
+
+
 def test_differencing_deletes_what_unmarked_pages_share(spark):
     page = "<body><div>Top of site</div><p>{0} text of page</p><div>About us</div><p>more {0}</p><div>All of it</div></body>"
     rows = [(i, f"https://h.org/a/{i}", page.format(f"unique{i}")) for i in range(6)]
