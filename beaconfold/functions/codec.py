@@ -126,3 +126,27 @@ def elapsed_us(start: Column, end: Column) -> Column:
 def missing_activation_code(code: Column) -> Column:
     """Codes that are null or empty can't be used."""
     return F.coalesce(code, F.lit("")) == ""
+
+
+def or_unknown(text: Column, default: str = "N/A") -> Column:
+    """``default`` for null, as where a tool gives no output."""
+    return F.coalesce(text, F.lit(default))
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(value, F.lit(high)))
+
+
+def moved_cursor(at: Column, by: int, size: Column) -> Column:
+    """A list cursor moved by ``by``, around the ends of a list of ``size``; 0 in an empty list."""
+    return F.when(size > 0, F.pmod(at + by, size)).otherwise(F.lit(0))
+
+
+def kilobytes(size: Column) -> Column:
+    """Whole kilobytes (1024), rounded down."""
+    return F.floor(size / 1024).cast("long")
+
+
+def eid_hex(device: Column) -> Column:
+    """A 32-digit chip identifier made of a prefix and the device."""
+    return F.concat(F.lit("89049032"), F.lpad(F.hex(device.cast("long")), 24, "0"))

@@ -64,6 +64,17 @@ def cross_references(xref: DataFrame) -> DataFrame:
     return tests.select("suite", F.col("t.name").alias("test"), F.explode("t.reqs").alias("req_id"))
 
 
+def all_true(checks: DataFrame, by: list[str], name: str, ok: str) -> DataFrame:
+    """Whether all checks of a group hold, and the names of those that don't, in order.
+
+    Failed names are made distinct before they are gathered, so a group's list
+    is as long as its vocabulary of checks.
+    """
+    failed = checks.where(~F.col(ok)).select(*by, name).distinct().groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(name)), ";").alias("failed"))
+    groups = checks.groupBy(*by).agg(F.bool_and(ok).alias("passed"), F.count("*").alias("n"))
+    return groups.join(failed, by, "left").withColumn("failed", F.coalesce("failed", F.lit("")))
+
+
 def bench(name: str, iterations: int, work, warm_up: int = 3) -> list[tuple[str, int, float]]:
     """Samples ``(name, iter, us)`` of calls of ``work``, after some calls that don't count."""
     import time

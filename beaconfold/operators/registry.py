@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codec import eid_hex
+
 
 def point_lookup(registry: DataFrame, requests: DataFrame, key: str = "iccid_hex") -> DataFrame:
     """Each request with the state found for its key; status -7 where there is none.
@@ -62,3 +64,21 @@ def renamed(registry: DataFrame, names: DataFrame, key: str = "iccid_hex") -> Da
     """The registry with nicknames set by ``names(key, nickname)``; no event is made of it."""
     new = names.select(key, F.col("nickname").alias("__new"))
     return registry.join(new, key, "left").withColumn("nickname", F.coalesce("__new", "nickname")).drop("__new")
+
+
+def chip_info(registry: DataFrame, os_version: str, capacity: int) -> DataFrame:
+    """One row for each device: its identifier, constants and the number of its profiles."""
+    counted = registry.groupBy("device_id").agg(F.count("*").alias("n_profiles"))
+    return counted.select(
+        "device_id",
+        eid_hex(F.col("device_id")).alias("eid"),
+        F.lit(os_version).alias("os_version"),
+        F.lit(capacity).alias("capacity"),
+        F.lit(0).alias("free_mem"),
+        "n_profiles",
+    )
+
+
+def with_ordinals(registry: DataFrame, by: str, *order: str) -> DataFrame:
+    """Rows with the number that a list shows beside them."""
+    return registry.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import conformance, events as ev, kpi, lifecycle, logs, registry as reg
-from ..schema import ALL_EVENTS, STATUS
+from ..schema import ALL_EVENTS, CAPACITY, STATUS
 from ..sources.files import parsed_vectors
 from ..sources.sinks import diagnostics
 from ..sources.tables import EVENT_NAMES, device_events, registry, subscriptions, table
@@ -326,6 +326,33 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
+@query(
+    f"WITH {E}, {R} SELECT device_id, '89049032' || lpad(upper(to_hex(device_id)), 24, '0') AS eid, '1.0' AS os_version, CAST(8 AS INTEGER) AS capacity, CAST(0 AS INTEGER) AS free_mem, count(*) AS n_profiles FROM r GROUP BY device_id"
+)
+def chip_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.chip_info(registry(device_events(spark, sf_dir)), "1.0", CAPACITY)
+
+
+@query(
+    f"""WITH {E}, {R}, o AS (SELECT device_id, slot, CAST(row_number() OVER (PARTITION BY device_id ORDER BY slot) AS INTEGER) AS ordinal FROM r)
+ SELECT device_id, slot, ordinal, greatest(1, least(ordinal, 4)) AS page, CAST((ordinal + 2) % 5 AS INTEGER) AS cursor FROM o"""
+)
+def profile_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers beside a device's listed profiles, a clamped page and a wrapped cursor."""
+    shown = reg.with_ordinals(registry(device_events(spark, sf_dir)), "device_id", "slot")
+    return shown.select("device_id", "slot", "ordinal", codec.clamped(F.col("ordinal"), 1, 4).alias("page"), codec.moved_cursor(F.col("ordinal"), 2, F.lit(5)).alias("cursor"))
+
+
+@query(
+    f"""WITH {E}, c AS (SELECT device_id, event_type, value < 95 AND status >= -14 AS ok FROM e)
+ SELECT device_id, bool_and(ok) AS passed, count(*) AS n, coalesce(string_agg(DISTINCT event_type, ';' ORDER BY event_type) FILTER (WHERE NOT ok), '') AS failed FROM c GROUP BY device_id"""
+)
+def device_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices whose values all keep below a bound, and the types that don't."""
+    checks = device_events(spark, sf_dir).select("device_id", "event_type", ((F.col("value") < 95) & (F.col("status") >= -14)).alias("ok"))
+    return kpi.all_true(checks, ["device_id"], "event_type", "ok")
+
+
 # -- extensions (no counterpart in the lifecycle domain) ----------------------------------------
 
 

@@ -45,3 +45,20 @@ def test_tcp_sink_sends_lines_and_survives_a_missing_peer(spark):
 def test_windows_with_watermark(spark):
     rows = stream_windows(spark, "/root/testdata/sf0.001").collect()
     assert len({(r.day, r.type) for r in rows}) == len(rows)
+
+
+def test_completion_callback(spark, tmp_path):
+    from beaconfold.streaming.listeners import CompletionListener
+
+    ended = threading.Event()
+    seen = []
+    listener = CompletionListener(lambda query, error: (seen.append((query, error)), ended.set()))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert ended.wait(20) and (str(query.id), None) in seen
+    finally:
+        spark.streams.removeListener(listener)
