@@ -399,3 +399,14 @@ def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ext_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus")
     return lines.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query(
+    f"""WITH {E} SELECT date_trunc('day', ts)::TIMESTAMP AS day, type, count(*) AS n FROM e
+ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY ALL"""
+)
+def ext_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and type from a stream: the days that the watermark has passed."""
+    from ..streaming.queries import stream_windows
+
+    return stream_windows(spark, sf_dir).select(F.col("day").cast("timestamp_ntz").alias("day"), "type", "n")
