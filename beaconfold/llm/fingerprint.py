@@ -86,7 +86,8 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     The edited text has its last half (rounded down) replaced by as many first
     code points of the next document in descending ``doc_id``.
     """
-    buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Ranges are named in the plan, so their number has a bound; a range's task spills if it is large.
+    buckets = min(2000, 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     followed = with_next(with_sketch(texts, "text", "sketch", shingle, scale), "doc_id", ["text", "sketch"], buckets)
     edited = followed.withColumn("n_chars", F.length("text").cast("long")).withColumn(
