@@ -19,15 +19,14 @@ import re
 import tempfile
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, slices, small_batches
-from .tokens import ChunkStore, split_chunks
+from .common import filled, slices, small_batches, stored
+from .tokens import ChunkStore, split_chunks, tail
 
 LEXICON_SIZE = 50_000
 LONGEST = 48  #: bytes of the longest chunk that enters the lexicon
@@ -227,13 +226,22 @@ class Lexicon:
 
 
 def frequent_chunks(docs: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
-    """The ``size`` most frequent chunks of all texts; ties by the chunk itself.
+    """The most frequent chunks of all texts, of two occurrences or more: at most ``size``, and all of a count or none.
 
-    Counted in the cluster with partial sums; the driver gets ``size`` short strings at most.
+    Counted in the cluster with partial sums.  The driver gets how many chunks
+    have each count, sets the least count from that, and then gets ``size``
+    short strings at most, however many partitions there are.
     """
     chunk = F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("chunk")
-    counted = docs.select(chunk).where((F.col("chunk") != "") & (F.octet_length("chunk") <= LONGEST)).groupBy("chunk").count()
-    return [r.chunk for r in counted.orderBy(F.desc("count"), "chunk").limit(size).collect()]
+    short = docs.select(chunk).where((F.col("chunk") != "") & (F.octet_length("chunk") <= LONGEST))
+    counted = stored(short.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1"), "chunk-counts")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("chunks")).collect(), key=lambda r: -r.n):
+        total += r.chunks
+        if total > size:
+            break
+        least = r.n
+    return [] if least is None else sorted(r.chunk for r in counted.where(F.col("n") >= least).select("chunk").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_SIZE) -> bytes:
@@ -241,11 +249,35 @@ def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_SIZE) ->
     return compile_lexicon({w.encode(): rules.chunk_ids(w) for w in frequent_chunks(docs, size)})
 
 
-@dataclass
 class _Worker:
-    rules: MergeRules
-    lexicon: Lexicon
-    token: str
+    """A Python worker's rules, lexicon, and ids and decoded text of the chunks met so far."""
+
+    def __init__(self, token: str, rules: MergeRules, lexicon: Lexicon, keep: int = 500_000):
+        self.token, self.rules, self.lexicon, self.keep = token, rules, lexicon, keep
+        self.reset()
+
+    def reset(self) -> None:
+        self.store, self.decoded = ChunkStore(), []
+
+    def codes(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of the chunks; new ones are looked up in the lexicon, or merged."""
+        store = self.store
+        codes = np.fromiter(map(store.codes.__getitem__, chunks), np.int64, len(chunks))
+        fresh = tail(store.codes, store.known)
+        if fresh:
+            numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in fresh])
+            known = numbers >= 0
+            merged = [self.rules.chunk_ids(fresh[i]) for i in np.flatnonzero(~known)]
+            lengths = np.zeros(len(fresh), np.int64)
+            hit_lengths, hit_ids = self.lexicon.runs(numbers[known])
+            lengths[known], lengths[~known] = hit_lengths, [len(m) for m in merged]
+            ids = np.zeros(int(lengths.sum()), np.uint32)
+            from_lexicon = np.repeat(known, lengths)
+            ids[from_lexicon], ids[~from_lexicon] = hit_ids, [i for m in merged for i in m]
+            store.add(lengths, ids)
+            strings, ends = self.rules.strings[ids].tolist(), np.cumsum(lengths).tolist()
+            self.decoded += [" ".join(strings[a:b]) for a, b in zip([0, *ends], ends)]
+        return codes
 
 
 _WORKER: list[_Worker] = []
@@ -263,30 +295,27 @@ class BpeCodec:
         token = f"{self.vocabulary}|{self.lexicon._path if hasattr(self.lexicon, '_path') else id(self.lexicon)}"
         if not _WORKER or _WORKER[0].token != token:
             rules = _WORKER[0].rules if _WORKER and _WORKER[0].token.split("|")[0] == self.vocabulary else MergeRules(self.vocabulary)
-            _WORKER[:] = [_Worker(rules, Lexicon.of(self.lexicon.value), token)]
+            _WORKER[:] = [_Worker(token, rules, Lexicon.of(self.lexicon.value))]
         return _WORKER[0]
 
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids joined, and each text's bounds in them."""
-        worker, store, chunks, ends = self._worker(), ChunkStore(), [], []
+    def encode_texts(self, texts: list[str], decode: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """All ids joined, each text's bounds in them, and on demand the decoded texts."""
+        worker, chunks, ends = self._worker(), [], [0]
+        if len(worker.store.codes) > worker.keep:
+            worker.reset()
         for t in texts:
             chunks += split_chunks(t)
             ends.append(len(chunks))
-        codes = np.fromiter(map(store.codes.__getitem__, chunks), np.int64, len(chunks))
-        words = list(store.codes)
-        numbers = worker.lexicon.numbers([w.encode() for w in words])
-        known = numbers >= 0
-        merged = [worker.rules.chunk_ids(words[i]) for i in np.flatnonzero(~known)]
-        lengths = np.zeros(len(words), np.int64)
-        hit_lengths, hit_ids = worker.lexicon.runs(numbers[known])
-        lengths[known], lengths[~known] = hit_lengths, [len(m) for m in merged]
-        ids = np.zeros(int(lengths.sum()), np.uint32)
-        from_lexicon = np.repeat(known, lengths)
-        ids[from_lexicon], ids[~from_lexicon] = hit_ids, [i for m in merged for i in m]
-        store.add(lengths, ids)
-        out, run = store.gather(codes)
-        before = np.concatenate([[0], np.cumsum(run)])
-        return out, before[np.concatenate([[0], np.array(ends, np.int64)])] if ends else np.zeros(1, np.int64)
+        codes = worker.codes(chunks)
+        ids, run = worker.store.gather(codes)
+        decoded: list[str] = []
+        if decode:
+            # Ids decode one by one, so a text decodes to its chunks' texts; chunks without ids leave no space.
+            some, strings = run > 0, worker.decoded
+            at = np.concatenate([[0], np.cumsum(some)])[ends].tolist()
+            parts = [strings[c] for c in codes[some].tolist()]
+            decoded = [" ".join(parts[a:b]) for a, b in zip(at[:-1], at[1:])]
+        return ids, np.concatenate([[0], np.cumsum(run)])[ends], decoded
 
     def decode_ids(self, ids: np.ndarray) -> str:
         """The library's decode for vocabularies without a decoder: token strings parted by spaces."""
@@ -299,12 +328,11 @@ class BpeCodec:
             for pdf in batches:
                 texts = filled(pdf["text"])
                 for a, b in slices(texts):
-                    ids, bounds = self.encode_texts(texts[a:b])
+                    ids, bounds, decoded = self.encode_texts(texts[a:b], decode)
                     spans = list(zip(bounds[:-1], bounds[1:]))
                     out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "n_tokens": np.diff(bounds), "ids": [ids[s:e].astype("<u4").tobytes() for s, e in spans]})
                     if decode:
-                        strings = self._worker().rules.strings[ids]
-                        out["decoded"] = [" ".join(strings[s:e]) for s, e in spans]
+                        out["decoded"] = decoded
                     yield out
 
         return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)

@@ -107,7 +107,7 @@ class LibraryEncoder:
             ends.append(len(chunks))
         codes = np.fromiter(map(store.codes.__getitem__, chunks), np.int64, len(chunks))
         if len(store.codes) > store.known:
-            fresh = list(store.codes)[store.known :] if store.known == 0 else _tail(store.codes, store.known)
+            fresh = tail(store.codes, store.known)
             with_special = [c for c in fresh if any(s in c for s in self.specials)]
             if with_special and len(with_special) < len(fresh):
                 # codes are in order, so the runs have to be added in order
@@ -126,7 +126,7 @@ class LibraryEncoder:
             yield a, *self.encode(texts[a:b])
 
 
-def _tail(numbered: dict, known: int) -> list[str]:
+def tail(numbered: dict, known: int) -> list[str]:
     """The keys numbered from ``known`` on; a dict keeps the order of insertion."""
     out = []
     for k in reversed(numbered):
