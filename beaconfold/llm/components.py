@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of ``u`` gets an edge to the least of ``u`` and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one node at most, which points nowhere."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("from"), F.lit(0).alias("to")).union(edges.select("v", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("x").agg(F.sum("from").alias("from"), F.max("to").alias("to"))
+    return counts.where("`from` > 1 or (`from` > 0 and `to` > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``u, v``: every node of ``edges(u, v)`` that isn't the least of its component, and that least node.
 
@@ -31,7 +38,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     oriented = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = stored(oriented, "edges")
     for _ in range(most_rounds):
-        if current.join(current.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and current.count() == current.select("u").distinct().count():
+        if _settled(current):
             return current
         following = stored(_small_star(_large_star(current)), "edges")
         forget(current)

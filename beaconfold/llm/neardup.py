@@ -17,8 +17,8 @@ below the threshold.
 
 Sets are of lower-case (A-Z) words; fewer words than ``shingle`` make one
 shingle.  Null texts and texts without words have empty sets and are linked with
-nothing; a document with a null id is its own (null) component.  Rows that
-repeat a document are copies of it.
+nothing.  Rows that repeat a document are copies of it.  A null id names no
+component: such a row takes that of its text's copies, or null, and is kept.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``doc_id, n_shingles, node`` (digest of the set, null if empty), ``sig`` of every row."""
+    """``doc_id, n_shingles, node`` (digest of the set, null if empty), ``sig`` and its low bytes ``low`` of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,16 +119,18 @@ def signatures(docs: DataFrame, p: NearDupParameters) -> DataFrame:
             texts = filled(pdf["text"])
             for i, j in slices(texts):
                 sets = shingle_sets(texts[i:j], p.shingle, hashes)
+                sigs = [signature(s, a, b) if len(s) else None for s in sets]
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].to_numpy()[i:j],
                         "n_shingles": [len(s) for s in sets],
                         "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                        "sig": [signature(s, a, b).tobytes() if len(s) else None for s in sets],
+                        "sig": [s if s is None else s.tobytes() for s in sigs],
+                        "low": [s if s is None else s.astype(np.uint8).tobytes() for s in sigs],
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node binary, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node binary, sig binary, low binary")
 
 
 def full_sets(docs: DataFrame, p: NearDupParameters) -> DataFrame:
@@ -239,6 +241,14 @@ def _forest(estimate: np.ndarray, cut: float) -> list[tuple[int, int]]:
     return out
 
 
+def _estimates(low: pd.Series) -> np.ndarray:
+    """Estimated similarity of all pairs; -1 of a member with itself."""
+    rows = np.frombuffer(b"".join(map(bytes, low)), np.uint8).reshape(len(low), -1)
+    out = (np.stack([(rows == r).mean(1) for r in rows]) - 1 / 256) / (1 - 1 / 256)
+    np.fill_diagonal(out, -1)
+    return out
+
+
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole groups of rows with the same key, from batches sorted by key."""
     held: list[pd.DataFrame] = []
@@ -259,31 +269,23 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def candidates(members: DataFrame, p: NearDupParameters, across: bool) -> DataFrame:
-    """``u, v``: pairs of nodes to confirm, from ``members(key, node, sig[, root])``.
+def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
+    """``u, v``: a likely spanning forest of each group of ``members(key, node, low)``, to be confirmed.
 
-    Either a spanning forest of each group, or (``across``) all pairs of
-    different ``root`` whose estimate reaches the cut.
+    Similarity is estimated by the low bytes of the signatures, less what
+    agrees by chance.
     """
-    columns = ["key", "node", "sig", *(["root"] if across else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         us, vs = [], []
         for group in _grouped(batches):
             if len(group) < 2:
                 continue
-            nodes = group["node"].to_numpy()
-            sigs = np.frombuffer(b"".join(map(bytes, group["sig"])), np.uint32).reshape(len(nodes), -1)
-            estimate = np.stack([(sigs == s).mean(1) for s in sigs])
-            np.fill_diagonal(estimate, -1)
+            estimate = _estimates(group["low"])
             if estimate.max() < p.cut:
                 continue
-            if across:
-                root = group["root"].to_numpy()
-                i, j = np.nonzero(np.triu(estimate >= p.cut, 1) & (root[:, None] != root[None, :]))
-                found = list(zip(i.tolist(), j.tolist()))
-            else:
-                found = _forest(estimate, p.cut)
+            nodes = group["node"].to_numpy()
+            found = _forest(estimate, p.cut)
             us += [max(nodes[i], nodes[j]) for i, j in found]
             vs += [min(nodes[i], nodes[j]) for i, j in found]
             if len(us) > 20_000:
@@ -292,10 +294,54 @@ def candidates(members: DataFrame, p: NearDupParameters, across: bool) -> DataFr
         if us:
             yield pd.DataFrame({"u": us, "v": vs})
 
-    sorted_groups = members.select(*columns).repartition("key").sortWithinPartitions("key")
+    sorted_groups = members.select("key", "node", "low").repartition("key").sortWithinPartitions("key")
     return sorted_groups.mapInPandas(run, "u binary, v binary").where("u <> v").distinct()
 
 
+def links_across(members: DataFrame, p: NearDupParameters) -> DataFrame:
+    """``u, v``: links between components, from ``members(key, node, root, low, shingles)``.
+
+    All pairs of different ``root`` in a group whose estimate reaches the cut
+    are compared on their full sets, the likeliest first; pairs whose
+    components a found link has joined by then need no comparison.  A group so
+    gives fewer rows than it has members.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches):
+            roots = group["root"].to_numpy()
+            parent = {r: r for r in roots}
+            if len(parent) < 2:
+                continue
+            estimate, codes = _estimates(group["low"]), pd.factorize(roots)[0]
+            i, j = np.nonzero(np.triu(estimate >= p.cut, 1) & (codes[:, None] != codes[None, :]))
+            if not len(i):
+                continue
+
+            def find(x: bytes) -> bytes:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            sets, out = group["shingles"].to_numpy(), []
+            for k in np.argsort(-estimate[i, j], kind="stable"):
+                x, y = find(roots[i[k]]), find(roots[j[k]])
+                if x == y:
+                    continue
+                a, b = sets[i[k]], sets[j[k]]
+                if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= p.percent * (len(a) + len(b) - both):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((max(x, y), min(x, y)))
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+
+    sorted_groups = members.select("key", "node", "root", "low", "shingles").repartition("key").sortWithinPartitions("key")
+    return sorted_groups.mapInPandas(run, "u binary, v binary").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFrame:
     """The ``pairs(u, v)`` whose full sets reach the threshold, by array functions."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -305,6 +351,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFr
     return joined.where(100 * F.col("both") >= p.percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
+def unsettled(members: DataFrame, root: DataFrame) -> DataFrame:
+    """``key, node, root`` of the tree nodes whose members are in more than one component."""
+    labelled = stored(members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    split = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return labelled.join(stored(split, "split"), "key")
+
+
 # -- the operation ----------------------------------------------------------------------------
 
 
@@ -312,26 +365,32 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs, p), "signatures")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes")
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("low").alias("low")), "nodes")
     leaves, large = tree_leaves(nodes, p)
-    sig = nodes.select("node", "sig")
-
-    company = leaves.select("node") if large is None else leaves.select("node").union(large.select("node"))
-    wanted = nodes.join(company.distinct(), "node", "left_semi").select("doc_id")
-    # Rows that repeat an id may bring other sets along; those are kept by their own digest.
-    sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), p).dropDuplicates(["node"]), "sets")
+    low = nodes.select("node", "low")
 
     near = leaves if large is None else leaves.union(chunked(large, p, pairs=False))
-    links = stored(confirmed(candidates(near.join(sig, "node"), p, across=False), sets, p), "links")
+    pairs = stored(candidates(near.join(low, "node"), p), "pairs")
+
+    # Every node with a likely partner is in a pair, or in a group that is still large.
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    wanted = wanted if large is None else wanted.union(large.select("node"))
+    ids = nodes.join(wanted.distinct(), "node", "left_semi").select("doc_id")
+    sets = stored(full_sets(docs.join(ids, "doc_id", "left_semi"), p), "sets")
+    links = stored(confirmed(pairs, sets, p), "links")
     roots = connected_components(links)
 
-    # What shares a leaf but not a component is compared exhaustively.
-    every = leaves if large is None else leaves.union(chunked(large, p, pairs=True))
-    labelled = every.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = stored(labelled, "labelled")
-    split = stored(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "split")
-    open_rows = labelled.join(split, "key").join(sig, "node")
-    more = stored(confirmed(candidates(open_rows, p, across=True), sets, p), "links")
+    # What shares a leaf but not a component is compared exhaustively.  A node
+    # without a set has no likely partner in its leaves.
+    root = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    likely = stored(sets.select("node").distinct(), "likely")
+    open_leaves = unsettled(leaves.join(likely, "node", "left_semi"), root)
+    if large is not None:
+        # A group that is one component by now needs no more comparisons.
+        cells = chunked(unsettled(large, root).select("key", "node"), p, pairs=True)
+        open_leaves = open_leaves.union(unsettled(cells, root))
+    small_batches(docs.sparkSession, 500)
+    more = stored(links_across(open_leaves.join(low, "node").join(sets, "node"), p), "links")
     roots = connected_components(roots.union(more)) if not more.isEmpty() else roots
 
     placed = nodes.select("node", "doc_id").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -73,10 +73,11 @@ class ChainModel:
 
 def _contrast(x: Sparse, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Log ratio of a feature's rates in positive and negative texts; 0 for features of too few texts."""
-    pairs = np.unique(x.row[use[x.row]] * np.int64(x.columns) + x.idx[use[x.row]])
-    row, idx = pairs // x.columns, pairs % x.columns
+    seen = use[x.row]  # a row has each feature once
+    idx = x.idx[seen]
     texts = np.bincount(idx, minlength=x.columns)
-    positive = np.bincount(idx, y[row], x.columns)
+    positive = np.bincount(idx, y[x.row[seen]], x.columns)
+    del seen, idx
     n, p = use.sum(), (y * use).sum()
     ratio = np.log((positive + 1) / (p + 2)) - np.log((texts - positive + 1) / (n - p + 2))
     return np.where(texts >= LEAST_TEXTS, ratio, 0.0)
@@ -91,7 +92,8 @@ def _fit_one(x: Sparse, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps
     ratio = _contrast(x, y, use)
     keep = use[x.row] & (ratio[x.idx] != 0)
     columns, idx = np.unique(x.idx[keep], return_inverse=True)
-    row, val, d = x.row[keep], x.val[keep] * ratio[x.idx[keep]], len(columns)
+    row, val, d = x.row[keep], x.val[keep] * ratio.astype(np.float32)[x.idx[keep]], len(columns)
+    del keep
     # Both classes weigh the same, so that rare categories reach their threshold.
     positive = max(1.0, float((use & (y > 0)).sum()))
     negative = max(1.0, float((use & (y <= 0)).sum()))
@@ -129,6 +131,7 @@ def fit_toxicity(labels: DataFrame, docs: DataFrame, categories: list[str], samp
     """Fit on at most ``sample`` rows of ``labels(doc_id, <categories>)`` of 0 and 1; of repeated ids the highest counts."""
     rows = sparse_rows(sampled_rows(labels, docs, categories, sample), categories, _rows)
     x = Sparse(list(rows["idx"]), list(rows["val"]), BUCKETS)
+    rows = rows.drop(columns=["idx", "val"])
     fold = (rows["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(folds) if len(rows) else np.zeros(0)
     return fit_chain(x, {c: rows[c].to_numpy() for c in categories}, fold, folds)
 
