@@ -5,8 +5,9 @@ one *node*.  Nodes descend several independent trees: at each tree node one or
 two coordinates of the MinHash signature are chosen by a hash of the tree node,
 and documents that agree on the value go to the same child.  Children of at most
 ``leaf`` members are compared exhaustively inside a task; larger ones branch
-again; what is still large after ``levels`` levels (groups of almost equal
-documents) is compared chunk against chunk, so nothing is capped.
+again.  A large child that kept the share ``stuck`` of its parent (a group of
+almost equal documents), or is still large after ``levels`` levels, is compared
+chunk against chunk, so nothing is capped.
 
 Links are confirmed on full sets.  Only components are wanted, so two rounds
 suffice: the first confirms a maximum spanning forest of each leaf by estimated
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,7 @@ class NearDupParameters:
     signature: int = 96
     leaf: int = 256
     levels: int = 10
+    stuck: float = 0.85  #: share of its parent from which a large tree node isn't split any more
     margin: float = 0.13
     seed: int = 1
 
@@ -164,58 +167,75 @@ def _children(keys: np.ndarray, sigs: np.ndarray, p: NearDupParameters) -> tuple
 
 
 def _descend(rows: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``key, node`` of the children of ``rows(key, node, sig)``; a null key is the root of all trees."""
+    """``key, node, above`` of the children of ``rows(key, node, sig, above)``; a null key is the root of all trees.
+
+    ``above`` is the number of members of the parent.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sigs = np.frombuffer(b"".join(map(bytes, pdf["sig"])), np.uint32).reshape(len(pdf), -1)
-            nodes = pdf["node"].to_numpy()
+            nodes, above = pdf["node"].to_numpy(), pdf["above"].to_numpy(np.int64)
             if pdf["key"].isna().any():
                 roots = _mix(np.arange(1, p.trees + 1, dtype=np.uint64) * _P[4] + np.uint64(p.seed))
                 at, keys = np.repeat(np.arange(len(pdf)), p.trees), np.tile(roots, len(pdf))
             else:
                 at, keys = np.arange(len(pdf)), pdf["key"].to_numpy(np.int64).view(np.uint64)
             got, child = _children(keys, sigs[at], p)
-            yield pd.DataFrame({"key": child.view(np.int64), "node": nodes[at[got]]})
+            yield pd.DataFrame({"key": child.view(np.int64), "node": nodes[at[got]], "above": above[at[got]]})
 
-    return rows.select("key", "node", "sig").mapInPandas(run, "key long, node binary")
+    return rows.select("key", "node", "sig", "above").mapInPandas(run, "key long, node binary, above long")
 
 
 def tree_leaves(nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame | None]:
-    """Stored ``key, node`` of all small tree nodes with company, and of what is large at the last level."""
-    leaves, rest = [], None
-    rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig")
+    """Stored ``key, node`` of all small tree nodes with company, and of the large ones that branching doesn't split."""
+    leaves, rest = [], []
+    rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig", F.lit(nodes.count()).cast("long").alias("above"))
     for level in range(p.levels):
         keyed = stored(_descend(rows, p), "tree")
-        counts = stored(keyed.groupBy("key").count().where("count > 1"), "tree-counts")
-        shared = stored(keyed.join(counts, "key"), "tree-shared")
+        counts = stored(keyed.groupBy("key").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "tree-counts")
+        shared = stored(keyed.select("key", "node").join(counts, "key"), "tree-shared")
         forget(keyed)
         leaves.append(shared.where(F.col("count") <= p.leaf).select("key", "node"))
-        large = shared.where(F.col("count") > p.leaf).select("key", "node")
+        large = counts.where(F.col("count") > p.leaf)
         if large.isEmpty():
             break
-        if level == p.levels - 1:
-            rest = large
+        ended = F.lit(level == p.levels - 1) | (F.col("count") >= p.stuck * F.col("above"))
+        if not large.where(ended).isEmpty():
+            rest.append(shared.where((F.col("count") > p.leaf) & ended).select("key", "node"))
+        if large.where(~ended).isEmpty():
             break
-        rows = large.join(nodes.select("node", "sig"), "node")
-    out = leaves[0]
-    for one in leaves[1:]:
-        out = out.union(one)
-    return out, rest
+        going = shared.where((F.col("count") > p.leaf) & ~ended)
+        rows = going.select("key", "node", F.col("count").alias("above")).join(nodes.select("node", "sig"), "node")
+    return reduce(DataFrame.union, leaves), reduce(DataFrame.union, rest) if rest else None
 
 
-def chunked(large: DataFrame, p: NearDupParameters, pairs: bool) -> DataFrame:
-    """Members of large tree nodes dealt into chunks of about half a leaf.
+def chunked(large: DataFrame, p: NearDupParameters) -> DataFrame:
+    """``key, node`` of the members of large tree nodes, dealt into chunks of about half a leaf.
 
-    With ``pairs``, each chunk meets every other one in a cell of its own, so all
-    pairs of members meet; without, members meet in their own chunk only.
+    Each tree deals its members anew, so the chunks of several trees overlap and
+    join a group that is one component.
     """
     size = large.groupBy("key").agg(F.ceil(2 * F.count("*") / p.leaf).cast("int").alias("chunks"))
-    dealt = large.join(stored(size, "tree-chunks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    if not pairs:
-        return dealt.select(F.xxhash64("key", "own").alias("key"), "node")
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+    dealt = large.join(stored(size, "tree-chunks"), "key").withColumn("own", F.pmod(F.xxhash64("key", "node"), "chunks"))
+    return dealt.select(F.xxhash64("key", "own").alias("key"), "node")
+
+
+def cells(large: DataFrame, p: NearDupParameters) -> DataFrame:
+    """``key, node`` of cells in which all pairs of ``large(key, node, root)`` meet that are in different components.
+
+    Members of a tree node's largest component needn't meet one another: they
+    are dealt into chunks that only meet chunks of the other members.
+    """
+    roots = large.groupBy("key", "root").agg(F.count("*").alias("n"))
+    size = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    chunks = lambda n: F.ceil(2 * n / p.leaf).cast("int")
+    size = size.select("key", "major", chunks(F.col("n") - F.col("most")).alias("others"), chunks(F.col("most")).alias("majors"))
+    own = F.when(F.col("root") == F.col("major"), F.col("others") + F.pmod(F.xxhash64("node"), "majors")).otherwise(F.pmod(F.xxhash64("node"), "others"))
+    dealt = large.join(stored(size, "tree-chunks"), "key").withColumn("own", own.cast("int"))
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("majors") - 1).otherwise(F.col("others") - 1)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
 
 
 # -- comparison inside leaves -----------------------------------------------------------------
@@ -369,7 +389,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     leaves, large = tree_leaves(nodes, p)
     low = nodes.select("node", "low")
 
-    near = leaves if large is None else leaves.union(chunked(large, p, pairs=False))
+    near = leaves if large is None else leaves.union(chunked(large, p))
     pairs = stored(candidates(near.join(low, "node"), p), "pairs")
 
     # Every node with a likely partner is in a pair, or in a group that is still large.
@@ -387,8 +407,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     open_leaves = unsettled(leaves.join(likely, "node", "left_semi"), root)
     if large is not None:
         # A group that is one component by now needs no more comparisons.
-        cells = chunked(unsettled(large, root).select("key", "node"), p, pairs=True)
-        open_leaves = open_leaves.union(unsettled(cells, root))
+        open_leaves = open_leaves.union(unsettled(cells(unsettled(large, root), p), root))
     small_batches(docs.sparkSession, 500)
     more = stored(links_across(open_leaves.join(low, "node").join(sets, "node"), p), "links")
     roots = connected_components(roots.union(more)) if not more.isEmpty() else roots
