@@ -14,8 +14,8 @@ order.  Two multinomials are counted: one over trusted texts, one over the raw
 corpus, the latter scaled to the size of the former.  Both get ``SMOOTHING``
 counts for each bucket, so that n-grams of a few documents, which the trusted
 texts may lack by chance, say little.  A document's score is the mean log ratio of its n-grams; it is
-kept if the score is at least ``THRESHOLD``.  The raw counts cover all rows; the
-trusted ones are at most ``TRUSTED`` rated rows, by a hash of their id.
+kept if the score is at least ``THRESHOLD``.  The raw counts cover all rows, the
+trusted ones all rows with a trusted id.
 
 Null texts count as empty: no words, so they fail the base rules (score 0).
 Repeated rows give a row each.
@@ -30,7 +30,6 @@ from .common import stored
 from .words_sql import hashes, windows, words
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 SMOOTHING = 8.0
 THRESHOLD = -0.15
 WINDOW = 8
@@ -79,14 +78,18 @@ def base_measures(hashed: DataFrame) -> DataFrame:
     return measured.withColumn("base_failed", failed).drop("win", "lines")
 
 
-def gram_ratios(docs: DataFrame, trusted: DataFrame, sample: int = TRUSTED) -> DataFrame:
+def gram_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``bucket, llr``: log of the trusted over the raw share of each bucket's n-grams.
 
-    ``trusted(doc_id)`` names trusted rows.  Counts are summed before the
-    shuffle; the table has at most two rows for each bucket number.
+    ``trusted(doc_id)`` names trusted rows, in any number: ids and documents are
+    shuffled at any size, and tasks keep only their share of the ids.  Rows
+    without an id meet no trusted one and stay out of that join.  Counts are summed before the shuffle; the table has at
+    most two rows for each bucket number.
     """
-    chosen = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
+    rows = docs.select("doc_id", "text")
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1)).hint("shuffle_hash")
+    named = rows.where("doc_id is not null").join(ids, "doc_id", "left")
+    marked = named.unionByName(rows.where("doc_id is null").withColumn("trusted", F.lit(None).cast("int")))
     exploded = with_hashes(marked).select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.expr(grams())).alias("bucket"))
     counts = stored(exploded.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")), "gram-counts")
     order = F.floor(F.col("bucket") / BUCKETS).cast("int")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -46,6 +47,16 @@ def test_rules_on_odd_tables(spark):
     assert llr_rules.quality_rules(docs.where("false"), ratios).count() == 0
 
 
+def test_ratios_count_all_trusted_rows(spark):
+    docs = spark.range(24_000).selectExpr("id as doc_id", "concat('w', id, ' ', id) as text")
+    ids = docs.select("doc_id")
+    ratios = llr_rules.gram_ratios(docs, ids.union(ids).union(spark.sql("select cast(null as bigint)")))
+    assert ratios.count() > 10_000 and ratios.where("llr <> 0").count() == 0  # all rows are trusted, so both multinomials are the same
+    some = llr_rules.gram_ratios(spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2, "z")], "doc_id long, text string"), ids.where("doc_id = 1"))
+    scale = 2 / 4  # two of four 1-grams are trusted
+    assert sorted(r.llr for r in some.collect()) == pytest.approx(sorted(math.log((g + 8) / (n * scale + 8)) for n, g in [(2, 2), (1, 0), (1, 0)]))
+
+
 def edited(rows):
     ordered = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
     for i, (k, t) in enumerate(ordered):
