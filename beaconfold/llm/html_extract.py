@@ -6,14 +6,14 @@ text lines (blocks) of both pages are aligned by a longest common subsequence,
 and lines that both have are deleted, except where markup says that they belong
 to the article: articles quote each other, and copies of an article would
 delete one another.  Markup also settles what never is main text (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, comments).  Where a
-page marks no article, its lines outside such parts are what differencing
-leaves, without lines that are mostly links.
+headers, footers, sidebars, notices, adverts, forms, scripts, comments).
+Differencing decides all other lines, on pages with and without a marked
+article; of those that it leaves, lines that are mostly links go.
 
 A block's white space becomes single spaces and character references are
 decoded; blocks are joined by ``\\n``.  Null and empty pages have no text.  A
-page that shares all its unmarked lines with its pair is a copy of it and keeps
-them.  Rows with equal URLs are ordered by ``page_id``; a null URL is an empty one.
+page that shares all lines that may be main text with its pair is a copy of it;
+the other neighbour decides then, and if that is a copy too the lines stay.  Rows with equal URLs are ordered by ``page_id``; a null URL is an empty one.
 """
 
 from __future__ import annotations
@@ -231,14 +231,6 @@ def _common_by_bits(a: list[str], b: list[str], middle: range, low: int, high: i
     return out
 
 
-def _shared(page: Page, other: Page | None) -> set[int]:
-    """Lines to delete: shared with ``other``, and not marked as the article's."""
-    if other is None:
-        return set()
-    common = common_lines([x.text for x in page.lines], [x.text for x in other.lines])
-    return {i for i in common if page.lines[i].region != MAIN}
-
-
 def _closeness(a: Page, b: Page | None) -> int:
     if b is None or a.host != b.host:
         return -1
@@ -251,21 +243,19 @@ def _closeness(a: Page, b: Page | None) -> int:
 
 
 def main_text(page: Page, before: Page | None, after: Page | None) -> str:
-    """The page's lines without those shared with the nearer neighbour, joined."""
+    """The page's marked lines, and the open ones that the nearer neighbour doesn't share, joined."""
     near, far = (before, after) if _closeness(page, before) >= _closeness(page, after) else (after, before)
-    unmarked = {i for i, x in enumerate(page.lines) if x.region == OPEN}
-    deleted: set[int] = set()
-    for other in (near, far):
-        if _closeness(page, other) >= 0:
-            deleted = _shared(page, other)
-            if not unmarked or unmarked - deleted:
-                break
-            deleted -= unmarked  # a copy of this page says nothing about its lines
-    left = [x for i, x in enumerate(page.lines) if i not in deleted and x.region != OUT]
-    marked = [x.text for x in left if x.region == MAIN]
-    if marked:
-        return "\n".join(marked)
-    return "\n".join(x.text for x in left if 2 * x.linked <= len(x.text))
+    body = [i for i, x in enumerate(page.lines) if x.region != OUT]
+    shared: set[int] = set()
+    if any(page.lines[i].region == OPEN for i in body):
+        for other in (near, far):
+            if _closeness(page, other) >= 0:
+                common = common_lines([x.text for x in page.lines], [x.text for x in other.lines])
+                if not common.issuperset(body):  # a copy of this page says nothing about its lines
+                    shared = common
+                    break
+    left = [x for i in body if (x := page.lines[i]).region == MAIN or i not in shared and 2 * x.linked <= len(x.text)]
+    return "\n".join(x.text for x in left)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

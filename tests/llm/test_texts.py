@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from beaconfold.llm import fingerprint, llr_rules, queries
-from beaconfold.llm.html_extract import _common_by_bits, common_lines, extract_main_text, page_lines
+from beaconfold.llm.html_extract import Page, _common_by_bits, common_lines, extract_main_text, main_text, page_lines
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \n\t ", "a b c d e f g h " * 10, "same line\nsame line\n\nsame line\n", "# * $ | <x>", "é 字   x", "w " * 20_000, "one two three", "one two three"]
@@ -158,6 +158,16 @@ def test_differencing_deletes_what_unmarked_pages_share(spark):
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+def test_differencing_decides_unmarked_lines_beside_marked_ones():
+    html = '<body><div>Top of site</div><h1>Head {0}</h1><p>lead {0}</p><div class="entry"><p>marked {0}</p><p>quote</p></div><p>tail {0}</p><p><a href="/">go {0}</a></p><div>About us</div></body>'
+    one, two, alone = (Page(h, f"/a/{n}", (n,), page_lines(html.format(n))) for h, n in (("h", 1), ("h", 2), ("solo", 3)))
+    text = "Head {0}\nlead {0}\nmarked {0}\nquote\ntail {0}"
+    assert main_text(one, None, two) == text.format(1) and main_text(two, one, alone) == text.format(2)
+    assert main_text(one, one, two) == text.format(1)  # a copy leaves it to the other neighbour
+    whole = f"Top of site\n{text.format(1)}\nAbout us"
+    assert main_text(one, one, one) == main_text(one, None, alone) == whole  # nothing to compare with
+
+
 def test_articles_of_the_table(spark):
     import html
 
