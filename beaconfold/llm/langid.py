@@ -8,7 +8,8 @@ landmarks turn kernel ridge regression, one language against the rest, into one
 scored in batches by products with these.
 
 The model is fitted on at most ``per_language`` texts of each language, in the
-order of a hash of their id, of which ``landmarks`` become landmarks.  The
+order of a hash of id and text, of which ``landmarks`` become landmarks; rows
+that repeat id and text count once.  The
 score is the softmax of the regressions' values, so it lies between 0 and 1.
 Texts that are null or have no letter are ``und`` with score 0; ties between
 languages go to the first in alphabetical order.
@@ -32,6 +33,7 @@ LANDMARKS = 96
 PER_LANGUAGE = 384
 BATCH = 128
 SHARPNESS = 6.0
+HASHES = 1 << 62  #: rows are sampled by a hash below this
 
 #: ASCII characters that aren't letters become spaces.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -103,29 +105,39 @@ def fit_kernel_ridge(x: np.ndarray, language: list[str], landmarks: int = LANDMA
 def fit_language_model(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel | None:
     """Fit on rows of ``docs(doc_id, text, lang)`` that ``learn`` allows; None if there are none.
 
-    Executors send each sampled text as bits, so what the driver gets is
-    bounded by ``per_language`` and the number of languages.
+    Executors send each sampled text as bits, and what the driver gets is
+    bounded by ``per_language`` and the number of languages however often an id
+    (null as well) or a row repeats.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("at", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHES - 1)))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()}
     if not counts:
         return None
-    # Twice the target share of each language, then the first by hash on the driver.
-    wide = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 2.0 * per_language / n + 8.0 / n))))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = rows.withColumn("at", at).where(F.col("at") < wide[F.col("lang")] * F.lit(1 << 30)).select("at", "doc_id", "lang", "text")
+
+    def up_to(limits: dict[str, int]) -> DataFrame:
+        """The rows whose hash is at most their language's limit."""
+        limit = F.create_map(*(F.lit(v) for lang, n in sorted(limits.items()) for v in (lang, n)))
+        return rows.where(F.col("at") <= limit[F.col("lang")])
+
+    # Twice the target share of each language's distinct hashes holds the first ones; the last of these is the limit.
+    wide = up_to({lang: int(min(1.0, (2.0 * per_language + 8.0) / n) * (HASHES - 1)) for lang, n in counts.items()})
+    first = wide.select("lang", "at").distinct().toPandas().sort_values("at").groupby("lang").head(per_language)
+    sample = up_to({lang: int(n) for lang, n in first.groupby("lang")["at"].max().items()}).select("at", "lang", "text")
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()  # bounded as the sample is
         for pdf in batches:
+            fresh = [k not in seen and not seen.add(k) for k in zip(pdf["lang"], pdf["at"])]
+            pdf = pdf[np.array(fresh, bool)]
             texts = filled(pdf["text"])
             for a in range(0, len(texts), BATCH):
                 packed = np.packbits(presence(texts[a : a + BATCH]).astype(np.uint8), axis=1)
-                part = pdf.iloc[a : a + BATCH]
-                yield part[["at", "doc_id", "lang"]].assign(bits=[r.tobytes() for r in packed])
+                yield pdf.iloc[a : a + BATCH][["at", "lang"]].assign(bits=[r.tobytes() for r in packed])
 
-    got = sample.mapInPandas(bits, "at long, doc_id long, lang string, bits binary").toPandas()
-    got = got.sort_values(["lang", "at", "doc_id"]).groupby("lang").head(per_language)
+    got = sample.mapInPandas(bits, "at long, lang string, bits binary").groupBy("lang", "at").agg(F.min("bits").alias("bits")).toPandas()
+    got = got.sort_values(["lang", "at"])
     x = np.unpackbits(np.frombuffer(b"".join(map(bytes, got["bits"])), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
     return fit_kernel_ridge(x, got["lang"].tolist(), landmarks)
 

@@ -99,6 +99,20 @@ def test_language_on_held_out_documents(spark, docs, odd):
     assert kept.columns == odd.columns and kept.count() == 4
 
 
+def test_language_sample_is_bounded_where_ids_and_rows_repeat(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit_kernel_ridge", lambda x, language, landmarks: seen.append((x, language)))
+    part = docs.select("doc_id", "text", "lang").where("length(text) > 200")
+    nameless = part.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+    hot = part.limit(1).crossJoin(spark.range(300)).drop("id")
+    received, kind = [], type(docs)
+    monkeypatch.setattr(kind, "toPandas", lambda self, f=kind.toPandas: received.append(f(self)) or received[-1])
+    langid.fit_language_model(part.where("doc_id % 3 > 0").union(nameless.where("length(text) % 3 = 0")).union(hot), F.lit(True), per_language=20)
+    x, language = seen[0]
+    assert set(pd.Series(language).value_counts()) == {20} and len(np.unique(x, axis=0)) > 60
+    assert all(len(r) <= 20 * 4 if "bits" in r else len(r) <= 60 * 4 for r in received)
+
+
 def test_held_out_rule(spark):
     import zlib
 
