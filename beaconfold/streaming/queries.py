@@ -8,14 +8,12 @@ where the last run stopped.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import fanout_by_bits
+from ..operators.lifecycle import DELETE, DISABLE, ENABLE, INSTALL
 from ..sources.tables import normalized, subscriptions
 from .folders import shared_dir
 
@@ -49,8 +47,8 @@ def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(routed.select("event_id", "sub_id"))
 
 
-STATE = "installed array<int>, active int"
-CHANGE = "device_id long, event_id long, slot int, type long, active int, status int"
+AT = "struct<batch:bigint,ts:timestamp,event_id:bigint>"
+STATE = f"device_id long, slot int, installed boolean, since {AT}, ended {AT}"
 
 
 def step(installed: set[int], active: int, slot: int, kind: int) -> tuple[int, int]:
@@ -72,32 +70,55 @@ def step(installed: set[int], active: int, slot: int, kind: int) -> tuple[int, i
     return active, 0
 
 
-def lifecycle(stream: DataFrame) -> DataFrame:
-    """Every command of the stream with its device's active slot after it.
+def merged(state: DataFrame, events: DataFrame, batch: int) -> DataFrame:
+    """The state of each device's slots after the commands of a batch, in order of ``ts, event_id``.
 
-    A device's state is its installed slots and the active one; a batch's rows
-    are put in order before they are folded.
+    A slot's state is whether it is installed, its last effective enable
+    (``since``) and its last disable or delete (``ended``).  An enable before
+    the batch's first install or delete counts if the slot was installed before.
+    Windows and aggregates spill; no task holds a device's rows in memory.
     """
+    at = F.struct(F.lit(batch).cast("long").alias("batch"), "ts", "event_id")
+    before = Window.partitionBy("device_id", "slot").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.when(F.col("type").isin(INSTALL, DELETE), F.col("type"))
+    seen = events.where(F.col("type").isin(INSTALL, ENABLE, DISABLE, DELETE)).withColumn("prior", F.last(turns, ignorenulls=True).over(before))
+    enabled = F.col("type") == ENABLE
+    fresh = seen.groupBy("device_id", "slot").agg(
+        F.max(F.lit(None).cast("boolean")).alias("was"),
+        F.max_by(turns, F.when(turns.isNotNull(), at)).alias("turn"),
+        F.max(F.when(enabled & F.col("prior").isNull(), at)).alias("open"),
+        F.max(F.when(enabled & (F.col("prior") == INSTALL), at)).alias("since"),
+        F.max(F.when(F.col("type").isin(DISABLE, DELETE), at)).alias("ended"),
+    )
+    held = state.select("device_id", "slot", F.col("installed").alias("was"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast(AT).alias("open"), "since", "ended")
+    both = held.unionByName(fresh).groupBy("device_id", "slot").agg(*(F.max(c).alias(c) for c in ("was", "turn", "open", "since", "ended")))
+    return both.select("device_id", "slot", F.coalesce(F.col("turn") == INSTALL, "was", F.lit(False)).alias("installed"), F.greatest("since", F.when(F.col("was"), F.col("open"))).alias("since"), "ended")
+
+
+def active_slots(state: DataFrame) -> DataFrame:
+    """``device_id, slot`` of the active profiles: the last effective enable of a device, unless it ended since."""
+    last = state.where("since is not null").groupBy("device_id").agg(F.max(F.struct("since", "slot", "ended")).alias("x"))
+    return last.where("x.ended is null or x.ended < x.since").where("x.slot >= 0").select("device_id", F.col("x.slot").alias("slot"))
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        installed, active = (set(state.get[0]), state.get[1]) if state.exists else (set(), -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event_id, slot, kind in rows[["event_id", "slot", "type"]].itertuples(index=False, name=None):
-            active, status = step(installed, active, int(slot), int(kind))
-            out.append((key[0], event_id, int(slot), kind, active, status))
-        state.update((sorted(installed), active))
-        yield pd.DataFrame(out, columns=["device_id", "event_id", "slot", "type", "active", "status"])
 
-    commands = stream.where(F.col("type").isin(1, 2, 4, 8)).select("device_id", "event_id", "ts", "slot", "type")
-    return commands.groupBy("device_id").applyInPandasWithState(fold, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active profile of each device at the end of the stream.
 
+    Each batch merges its commands into the table of states that the batch
+    before wrote; a batch that is run again writes the same table again.
+    """
+    base, done = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
 
-def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The active profile of each device at the end of the stream."""
-    changes = drained(lifecycle(event_stream(spark, sf_dir)))
-    last = changes.groupBy("device_id").agg(F.max_by("active", "event_id").alias("slot"))
-    return last.where("slot >= 0").select("device_id", "slot")
+    def state(batch: int) -> DataFrame:
+        return spark.read.schema(STATE).parquet(f"{base}/state/{batch}") if batch >= 0 else spark.createDataFrame([], STATE)
+
+    def fold(events: DataFrame, batch: int) -> None:
+        merged(state(batch - 1), events, batch).write.mode("overwrite").parquet(f"{base}/state/{batch}")
+        done.append(batch)
+
+    query = event_stream(spark, sf_dir).writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return active_slots(state(max(done, default=-1)))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconfold.operators import kpi, lifecycle
 from beaconfold.operators.registry import appeared, renamed, upsert
-from beaconfold.streaming.queries import step
+from beaconfold.streaming.queries import STATE, active_slots, merged, step, stream_lifecycle
 
 SCHEMA = "device_id long, event_id long, ts long, slot int, type long"
 
@@ -32,6 +32,27 @@ def test_batch_fold_equals_sequential_fold(spark, seed):
     assert {r.device_id: r.slot for r in got} == folded(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_states_merged_batch_by_batch_equal_sequential_fold(spark, seed):
+    rows = random_events(seed, 240)
+    cuts = [0, *sorted(random.Random(seed).sample(range(240), 2)), 240]
+    state = spark.createDataFrame([], STATE)
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = spark.createDataFrame(random.Random(n).sample(rows[a:b], b - a), SCHEMA).withColumn("ts", F.timestamp_seconds("ts"))
+        state = spark.createDataFrame(merged(state, part, n).collect(), STATE)
+    assert {r.device_id: r.slot for r in active_slots(state).collect()} == folded(rows)
+
+
+def test_stream_goes_by_time_where_ids_do_not(spark, tmp_path):
+    names = ["signup", "purchase", "click"]
+    rnd = random.Random(9)
+    rows = [(rnd.randint(1, 4), 5000 - i, 1_000_000 + i, rnd.randint(0, 3), rnd.randint(0, 2)) for i in range(300)]  # ids fall with time
+    events = spark.createDataFrame([(e, t, d, names[k], 0.0, f'{{"k": {slot}}}') for d, e, t, slot, k in rows], "event_id long, ts long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.device_id: r.slot for r in stream_lifecycle(spark, str(tmp_path)).collect()}
+    assert got == folded([(d, e, t, slot, 1 << k) for d, e, t, slot, k in rows])
+
+
 def test_rules_of_a_step():
     installed = set()
     assert step(installed, -1, 3, 2) == (-1, -7)  # enabling what isn't there
