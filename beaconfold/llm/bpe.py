@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, slices, small_batches, stored
+from .common import filled, slices, stored, with_long_id, with_text_id
 from .tokens import ChunkStore, split_chunks, tail
 
 LEXICON_SIZE = 50_000
@@ -289,7 +289,6 @@ class BpeCodec:
     def __init__(self, spark, vocabulary: str, lexicon: bytes):
         self.vocabulary = vocabulary
         self.lexicon = spark.sparkContext.broadcast(lexicon)
-        small_batches(spark)
 
     def _worker(self) -> _Worker:
         token = f"{self.vocabulary}|{self.lexicon._path if hasattr(self.lexicon, '_path') else id(self.lexicon)}"
@@ -335,7 +334,8 @@ class BpeCodec:
                         out["decoded"] = decoded
                     yield out
 
-        return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
+        rows = with_text_id(docs.select("doc_id", "text"))
+        return with_long_id(rows.mapInPandas(run, "doc_id string, n_tokens long, ids binary" + ", decoded string" * decode))
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """``doc_id, text`` of ``encoded(doc_id, ids)``."""
@@ -344,4 +344,4 @@ class BpeCodec:
             for pdf in batches:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [self.decode_ids(np.frombuffer(b or b"", "<u4")) for b in pdf["ids"]]})
 
-        return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+        return with_long_id(with_text_id(encoded.select("doc_id", "ids")).mapInPandas(run, "doc_id string, text string"))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many characters inside a task, so
 #: that a task's memory follows the slice and not the partition.
@@ -52,9 +53,25 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold at most ``rows`` rows, since a row may hold a long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session's Arrow batches hold at most ``rows`` rows, since a row may hold a long text.
+
+    All operations use this one bound, and a smaller one of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def with_text_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``key`` as text: pandas would turn a batch of integers with a null into floats and lose digits."""
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(key, F.col(key).cast("string"))
+
+
+def with_long_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The other way round."""
+    return df.withColumn(key, F.col(key).cast("long"))
 
 
 def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -29,7 +29,7 @@ def _settled(edges: DataFrame) -> bool:
     return counts.where("`from` > 1 or (`from` > 0 and `to` > 0)").isEmpty()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``u, v``: every node of ``edges(u, v)`` that isn't the least of its component, and that least node.
 
     Each round is written to the shared folder; rounds end once all edges point
@@ -37,10 +37,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     oriented = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = stored(oriented, "edges")
-    for _ in range(most_rounds):
-        if _settled(current):
-            return current
+    while not _settled(current):
         following = stored(_small_star(_large_star(current)), "edges")
         forget(current)
         current = following
-    raise RuntimeError("components did not settle")
+    return current

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import with_long_id, with_text_id
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -264,8 +264,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Ranges of (host, path) are dealt to partitions, so a large host is spread; a
     range's first and last page are paired inside their range.
     """
-    small_batches(pages.sparkSession, 500)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before: Page | None = None
         current: Page | None = None
@@ -278,15 +276,15 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         columns = ["page_id", "url", "text", "n_chars"]
         for pdf in batches:
             for page_id, url, html, host, path in pdf[["page_id", "url", "html", "host", "path"]].itertuples(index=False, name=None):
-                page = Page(host, path, (None if pd.isna(page_id) else int(page_id), url), page_lines(html) if isinstance(html, str) else [])
+                page = Page(host, path, (page_id, url), page_lines(html) if isinstance(html, str) else [])
                 if current is not None:
                     done.append(row(current, before, page))
                 before, current = current, page
             if done:
-                yield pd.DataFrame(done, columns=columns).astype({"page_id": "Int64"})
+                yield pd.DataFrame(done, columns=columns)
                 done = []
         if current is not None:
-            yield pd.DataFrame([row(current, before, None)], columns=columns).astype({"page_id": "Int64"})
+            yield pd.DataFrame([row(current, before, None)], columns=columns)
 
     url = F.coalesce("url", F.lit(""))
     placed = pages.select(
@@ -297,4 +295,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
     ordered = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return with_long_id(with_text_id(ordered, "page_id").mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

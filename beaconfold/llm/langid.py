@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, slices, small_batches
+from .common import bounded_batches, filled, slices, with_long_id, with_text_id
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
@@ -109,7 +109,6 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = PER_L
     bounded by ``per_language`` and the number of languages however often an id
     (null as well) or a row repeats.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("at", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHES - 1)))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()}
@@ -142,10 +141,8 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = PER_L
     return fit_kernel_ridge(x, got["lang"].tolist(), landmarks)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (``doc_id`` if not given) with ``lang_pred`` and ``score`` for every row of ``docs``."""
-    small_batches(docs.sparkSession)
-    carry = carry or ["doc_id"]
+def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,16 +155,15 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, carry: list[s
             for a, b in slices(texts):
                 best, s = m.predict(texts[a:b])
                 lang[at[a:b]], score[at[a:b]] = np.array(m.languages, object)[best], s
-            yield pdf[carry].assign(lang_pred=lang, score=score)
+            yield pdf[["doc_id"]].assign(lang_pred=lang, score=score)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double"
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInPandas(run, schema)
+    rows = with_text_id(docs.select("doc_id", "text"))
+    return with_long_id(rows.mapInPandas(run, "doc_id string, lang_pred string, score double"))
 
 
 def recognised(docs: DataFrame, model: LanguageModel | None, least_score: float) -> DataFrame:
     """The rows of ``docs`` whose text has a known language with at least ``least_score``; all columns stay."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -5,21 +5,35 @@ one *node*.  Nodes descend several independent trees: at each tree node one or
 two coordinates of the MinHash signature are chosen by a hash of the tree node,
 and documents that agree on the value go to the same child.  Children of at most
 ``leaf`` members are compared exhaustively inside a task; larger ones branch
-again.  A large child that kept the share ``stuck`` of its parent (a group of
-almost equal documents), or is still large after ``levels`` levels, is compared
-chunk against chunk, so nothing is capped.
-
-Links are confirmed on full sets.  Only components are wanted, so two rounds
-suffice: the first confirms a maximum spanning forest of each leaf by estimated
-similarity, the second compares exhaustively what the first left in different
-components.  Trees are repeated so that a pair at the threshold is missed with a
-chance of about ``(1 - threshold) ** trees``; estimates are cut ``margin``
-below the threshold.
+again.
+
+Only components are wanted, so links inside a component needn't be found.  Large
+tree nodes are therefore linked while the trees grow: their members meet in
+chunks dealt anew in each tree node, and a maximum spanning forest of each chunk
+is confirmed on full sets.  A tree node whose members are one component by then
+ends.  One with at most ``few`` members outside its largest component ends too:
+these are compared with all other members, ``few`` at a time, so that no member
+makes more than a few rows.  All others branch on; what still can't be split (its members
+outside the largest component didn't fall below the share ``stuck`` of those
+above, or ``levels`` are used up) is compared chunk against chunk, so nothing is
+capped.
+
+Links are confirmed on full sets.  In leaves two rounds suffice: the first
+confirms a maximum spanning forest of each leaf by estimated similarity, the
+second compares exhaustively what the first left in different components.
+
+Recall: a tree node passes a pair at the threshold on to ``spare`` children on
+average, so that pairs don't die out with depth.  All ten trees lose such a pair
+with a chance of 1e-8 in the first level, 7e-5 in the fifth and 7e-4 in the
+tenth.  Estimates of similarity (96 values) are cut ``margin`` below the
+threshold, 3.2 standard deviations.
 
 Sets are of lower-case (A-Z) words; fewer words than ``shingle`` make one
 shingle.  Null texts and texts without words have empty sets and are linked with
-nothing.  Rows that repeat a document are copies of it.  A null id names no
-component: such a row takes that of its text's copies, or null, and is kept.
+nothing.  Rows that repeat a document are copies of it.  A row with a null id
+takes part like any other and joins what it is near to, but names no component:
+its component is the least id of its group, null if no row of the group has an
+id, and only in that case it is kept.
 """
 
 from __future__ import annotations
@@ -31,10 +45,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, forget, slices, small_batches, stored
+from .common import filled, forget, slices, stored, with_long_id, with_text_id
 from .components import connected_components
 
 
@@ -45,8 +59,10 @@ class NearDupParameters:
     trees: int = 10
     signature: int = 96
     leaf: int = 256
-    levels: int = 10
-    stuck: float = 0.85  #: share of its parent from which a large tree node isn't split any more
+    levels: int = 12
+    few: int = 512  #: members outside the largest component that are compared with all others of their tree node
+    stuck: float = 0.9  #: share of those above from which their number counts as not falling
+    spare: float = 1.1  #: children, on average, that a pair at the threshold shares
     margin: float = 0.13
     seed: int = 1
 
@@ -111,9 +127,13 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def text_hash() -> Column:
+    """Names a row's text, so that rows with a null id can be told apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``doc_id, n_shingles, node`` (digest of the set, null if empty), ``sig`` and its low bytes ``low`` of every row."""
-    small_batches(docs.sparkSession)
+    """``doc_id, at`` (hash of the text), ``n_shingles, node`` (digest of the set, null if empty), ``sig`` and its low bytes ``low`` of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = multipliers(p)
@@ -123,33 +143,43 @@ def signatures(docs: DataFrame, p: NearDupParameters) -> DataFrame:
             for i, j in slices(texts):
                 sets = shingle_sets(texts[i:j], p.shingle, hashes)
                 sigs = [signature(s, a, b) if len(s) else None for s in sets]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].to_numpy()[i:j],
-                        "n_shingles": [len(s) for s in sets],
-                        "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                        "sig": [s if s is None else s.tobytes() for s in sigs],
-                        "low": [s if s is None else s.astype(np.uint8).tobytes() for s in sigs],
-                    }
+                yield pdf.iloc[i:j][["doc_id", "at"]].assign(
+                    n_shingles=[len(s) for s in sets],
+                    node=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    sig=[s if s is None else s.tobytes() for s in sigs],
+                    low=[s if s is None else s.astype(np.uint8).tobytes() for s in sigs],
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node binary, sig binary, low binary")
+    rows = with_text_id(docs).select("doc_id", text_hash().alias("at"), "text")
+    return with_long_id(rows.mapInPandas(run, "doc_id string, at long, n_shingles long, node binary, sig binary, low binary"))
 
 
 def full_sets(docs: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``node, shingles`` (sorted array of longs) of ``docs(text)``."""
+    """``node, shingles`` (in the order of unsigned integers) of ``docs(text)``; a task gives each node once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for pdf in batches:
             texts = filled(pdf["text"])
             for i, j in slices(texts, 300_000):
                 sets = shingle_sets(texts[i:j], p.shingle, hashes)
-                yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+                named = [(xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)) for s in sets]
+                fresh = [(n, s) for n, s in named if n not in seen and not seen.add(n)]
+                yield pd.DataFrame({"node": [n for n, _ in fresh], "shingles": [s for _, s in fresh]})
 
     return docs.select("text").mapInPandas(run, "node binary, shingles array<bigint>")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDupParameters) -> DataFrame:
+    """Stored sets of the ``wanted(node)``, one row each, made anew from one document of each."""
+    rows = nodes.join(wanted.distinct(), "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("at").alias("hashed"))
+    texts = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("id")) & (text_hash() == F.col("hashed")), "left_semi")
+    sets = stored(full_sets(texts, p), "sets")
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")  # rows that repeat id and text
+
+
 # -- trees ------------------------------------------------------------------------------------
 
 
@@ -158,7 +188,7 @@ def _children(keys: np.ndarray, sigs: np.ndarray, p: NearDupParameters) -> tuple
     first = (_mix(keys * _P[0] + np.uint64(1)) % np.uint64(p.signature)).astype(np.int64)
     draw = _mix(keys * _P[1] + np.uint64(2))
     second = np.where(first == (s := (draw >> np.uint64(20)) % np.uint64(p.signature)).astype(np.int64), (first + 1) % p.signature, s.astype(np.int64))
-    more = (draw % np.uint64(1000)).astype(float) < 1000 * (100 / p.percent - 1)
+    more = (draw % np.uint64(1000)).astype(float) < 1000 * (p.spare * 100 / p.percent - 1)
     row = np.arange(len(keys))
     rows = np.concatenate([row, row[more]])
     coordinate = np.concatenate([first, second[more]])
@@ -169,7 +199,7 @@ def _children(keys: np.ndarray, sigs: np.ndarray, p: NearDupParameters) -> tuple
 def _descend(rows: DataFrame, p: NearDupParameters) -> DataFrame:
     """``key, node, above`` of the children of ``rows(key, node, sig, above)``; a null key is the root of all trees.
 
-    ``above`` is the number of members of the parent.
+    ``above`` is the number of the parent's members outside its largest component.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,55 +217,38 @@ def _descend(rows: DataFrame, p: NearDupParameters) -> DataFrame:
     return rows.select("key", "node", "sig", "above").mapInPandas(run, "key long, node binary, above long")
 
 
-def tree_leaves(nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame | None]:
-    """Stored ``key, node`` of all small tree nodes with company, and of the large ones that branching doesn't split."""
-    leaves, rest = [], []
-    rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig", F.lit(nodes.count()).cast("long").alias("above"))
-    for level in range(p.levels):
-        keyed = stored(_descend(rows, p), "tree")
-        counts = stored(keyed.groupBy("key").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "tree-counts")
-        shared = stored(keyed.select("key", "node").join(counts, "key"), "tree-shared")
-        forget(keyed)
-        leaves.append(shared.where(F.col("count") <= p.leaf).select("key", "node"))
-        large = counts.where(F.col("count") > p.leaf)
-        if large.isEmpty():
-            break
-        ended = F.lit(level == p.levels - 1) | (F.col("count") >= p.stuck * F.col("above"))
-        if not large.where(ended).isEmpty():
-            rest.append(shared.where((F.col("count") > p.leaf) & ended).select("key", "node"))
-        if large.where(~ended).isEmpty():
-            break
-        going = shared.where((F.col("count") > p.leaf) & ~ended)
-        rows = going.select("key", "node", F.col("count").alias("above")).join(nodes.select("node", "sig"), "node")
-    return reduce(DataFrame.union, leaves), reduce(DataFrame.union, rest) if rest else None
+def dealt_into(large: DataFrame, chunk: int) -> DataFrame:
+    """``key, node`` of the members of ``large(key, node, count)``, dealt into chunks of about ``chunk`` members.
 
+    Each tree node deals its members anew, so the chunks of several trees overlap.
+    """
+    own = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("count") / chunk).cast("int"))
+    return large.select(F.xxhash64("key", own).alias("key"), "node")
 
-def chunked(large: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``key, node`` of the members of large tree nodes, dealt into chunks of about half a leaf.
 
-    Each tree deals its members anew, so the chunks of several trees overlap and
-    join a group that is one component.
-    """
-    size = large.groupBy("key").agg(F.ceil(2 * F.count("*") / p.leaf).cast("int").alias("chunks"))
-    dealt = large.join(stored(size, "tree-chunks"), "key").withColumn("own", F.pmod(F.xxhash64("key", "node"), "chunks"))
-    return dealt.select(F.xxhash64("key", "own").alias("key"), "node")
+def component_sizes(labelled: DataFrame) -> DataFrame:
+    """``key, major`` (its largest component), ``most`` (members of that), ``others``, ``above`` of tree nodes in more than one component."""
+    roots = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.first("above").alias("above"))
+    sizes = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"), F.first("above").alias("above"))
+    return sizes.select("key", "major", "most", (F.col("n") - F.col("most")).alias("others"), "above").where("others > 0")
 
 
-def cells(large: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``key, node`` of cells in which all pairs of ``large(key, node, root)`` meet that are in different components.
+def cells(large: DataFrame, chunk: int) -> DataFrame:
+    """``key, node, root`` of cells in which all pairs of ``large(key, node, root, major, most, others)`` meet that are in different components.
 
     Members of a tree node's largest component needn't meet one another: they
-    are dealt into chunks that only meet chunks of the other members.
+    are dealt into chunks that only meet chunks of the other members.  Where
+    these fit into one chunk, a chunk's members stand in one cell and only the
+    others are repeated.
     """
-    roots = large.groupBy("key", "root").agg(F.count("*").alias("n"))
-    size = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    chunks = lambda n: F.ceil(2 * n / p.leaf).cast("int")
-    size = size.select("key", "major", chunks(F.col("n") - F.col("most")).alias("others"), chunks(F.col("most")).alias("majors"))
-    own = F.when(F.col("root") == F.col("major"), F.col("others") + F.pmod(F.xxhash64("node"), "majors")).otherwise(F.pmod(F.xxhash64("node"), "others"))
-    dealt = large.join(stored(size, "tree-chunks"), "key").withColumn("own", own.cast("int"))
-    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("majors") - 1).otherwise(F.col("others") - 1)
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    others, majors = chunks("others"), chunks("most")
+    own = F.when(F.col("root") == F.col("major"), others + F.pmod(F.xxhash64("node"), majors)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    dealt = large.withColumn("own", own)
+    first = F.when((F.col("own") < others) & (others == 1), 1).otherwise(0)  # cells with a major chunk hold the only other one
+    last = F.when(F.col("own") < others, others + majors - 1).otherwise(others - 1)
+    met = dealt.withColumn("other", F.explode(F.sequence(first, last)))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root")
 
 
 # -- comparison inside leaves -----------------------------------------------------------------
@@ -290,10 +303,11 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``u, v``: a likely spanning forest of each group of ``members(key, node, low)``, to be confirmed.
+    """``u, v``: links, to be confirmed, that likely join each group of ``members(key, node, root, low)`` as far as it can be.
 
-    Similarity is estimated by the low bytes of the signatures, less what
-    agrees by chance.
+    They are the edges of a maximum spanning forest that join different
+    components (``root``).  Similarity is estimated by the low bytes of the
+    signatures, less what agrees by chance.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,10 +316,14 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
             if len(group) < 2:
                 continue
             estimate = _estimates(group["low"])
-            if estimate.max() < p.cut:
+            codes = pd.factorize(group["root"])[0]
+            same = codes[:, None] == codes[None, :]
+            if np.where(same, -1, estimate).max() < p.cut:
                 continue
+            estimate[same] = 2
+            np.fill_diagonal(estimate, -1)
             nodes = group["node"].to_numpy()
-            found = _forest(estimate, p.cut)
+            found = [(i, j) for i, j in _forest(estimate, p.cut) if codes[i] != codes[j]]
             us += [max(nodes[i], nodes[j]) for i, j in found]
             vs += [min(nodes[i], nodes[j]) for i, j in found]
             if len(us) > 20_000:
@@ -314,17 +332,32 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
         if us:
             yield pd.DataFrame({"u": us, "v": vs})
 
-    sorted_groups = members.select("key", "node", "low").repartition("key").sortWithinPartitions("key")
+    sorted_groups = members.select("key", "node", "root", "low").repartition("key").sortWithinPartitions("key")
     return sorted_groups.mapInPandas(run, "u binary, v binary").where("u <> v").distinct()
 
 
+def _similar(one: np.ndarray, sets: list[np.ndarray], percent: int, cells: int = 1_000_000) -> np.ndarray:
+    """Which of ``sets`` reach the threshold with ``one``, by their exact intersections; all are sorted as unsigned integers."""
+    out, at = np.zeros(len(sets), bool), 0
+    while at < len(sets):
+        to = at + max(1, cells // max(1, len(sets[at])))
+        part = sets[at:to]
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        flat = np.concatenate(part)
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        out[at:to] = 100 * both >= percent * (len(one) + size - both)
+        at = to
+    return out
+
+
 def links_across(members: DataFrame, p: NearDupParameters) -> DataFrame:
     """``u, v``: links between components, from ``members(key, node, root, low, shingles)``.
 
     All pairs of different ``root`` in a group whose estimate reaches the cut
-    are compared on their full sets, the likeliest first; pairs whose
-    components a found link has joined by then need no comparison.  A group so
-    gives fewer rows than it has members.
+    are compared on their full sets; pairs whose components a found link has
+    joined by then need no comparison.  A group so gives fewer rows than it has
+    members.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,27 +367,23 @@ def links_across(members: DataFrame, p: NearDupParameters) -> DataFrame:
             if len(parent) < 2:
                 continue
             estimate, codes = _estimates(group["low"]), pd.factorize(roots)[0]
-            i, j = np.nonzero(np.triu(estimate >= p.cut, 1) & (codes[:, None] != codes[None, :]))
-            if not len(i):
-                continue
+            likely = np.triu(estimate >= p.cut, 1) & (codes[:, None] != codes[None, :])
 
             def find(x: bytes) -> bytes:
                 while parent[x] != x:
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            sets, out = group["shingles"].to_numpy(), []
-            for k in np.argsort(-estimate[i, j], kind="stable"):
-                x, y = find(roots[i[k]]), find(roots[j[k]])
-                if x == y:
-                    continue
-                a, b = sets[i[k]], sets[j[k]]
-                if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= p.percent * (len(a) + len(b) - both):
-                    parent[max(x, y)] = min(x, y)
-                    out.append((max(x, y), min(x, y)))
+            sets, out = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]], []
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            for i in np.flatnonzero(likely.any(1)):
+                own = find(roots[i])
+                others = [j for j in np.flatnonzero(likely[i] & (100 * np.minimum(size, size[i]) >= p.percent * np.maximum(size, size[i]))) if find(roots[j]) != own]
+                for j in np.array(others, np.int64)[_similar(sets[i], [sets[j] for j in others], p.percent)]:
+                    x, y = find(roots[i]), find(roots[j])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((max(x, y), min(x, y)))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
@@ -371,61 +400,120 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFr
     return joined.where(100 * F.col("both") >= p.percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
-def unsettled(members: DataFrame, root: DataFrame) -> DataFrame:
-    """``key, node, root`` of the tree nodes whose members are in more than one component."""
-    labelled = stored(members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
+def labelled_by(members: DataFrame, root: DataFrame | None) -> DataFrame:
+    """``members(node, ...)`` with the ``root`` of their component so far."""
+    if root is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def unsettled(members: DataFrame, root: DataFrame | None) -> DataFrame:
+    """``key, node, root`` of the tree nodes of ``members(key, node)`` that are in more than one component."""
+    labelled = stored(labelled_by(members, root).select("key", "node", "root"), "labelled")
     split = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return labelled.join(stored(split, "split"), "key")
+    return labelled.join(stored(split, "split"), "key", "left_semi")
 
 
 # -- the operation ----------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
+def roots_of(edges: DataFrame) -> DataFrame:
+    """``node, root`` of every node of ``edges(u, v)`` that isn't the root of its component."""
+    return connected_components(edges).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def as_edges(root: DataFrame | None) -> list[DataFrame]:
+    return [] if root is None else [root.select(F.col("node").alias("u"), F.col("root").alias("v"))]
+
+
+def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, list[DataFrame], DataFrame | None, DataFrame | None]:
+    """Grow all trees: leaves (``key, node``), cells of ended large tree nodes, components so far and sets fetched so far."""
+    low, leaves, ended = nodes.select("node", "low"), [], []
+    sets = root = None
+    rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig", F.lit(1 << 62).alias("above"))
+    for level in range(p.levels):
+        keyed = stored(_descend(rows, p), "tree")
+        counts = stored(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "tree-counts")
+        shared = stored(keyed.join(counts, "key"), "tree-shared")
+        forget(keyed)
+        leaves.append(shared.where(F.col("count") <= p.leaf).select("key", "node"))
+        if counts.where(F.col("count") > p.leaf).isEmpty():
+            break
+        large = shared.where(F.col("count") > p.leaf)
+
+        # Link what meets in chunks, then look which tree nodes are one component.
+        if sets is None:
+            sets = sets_of(docs, nodes, large.select("node"), p)
+        chunks = labelled_by(dealt_into(large, p.leaf), root)
+        pairs = stored(candidates(chunks.join(low, "node"), p), "pairs")
+        root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
+        labelled = stored(labelled_by(large, root).select("key", "node", "root", "above"), "labelled")
+        sizes = stored(component_sizes(labelled), "tree-sizes")
+        going = (F.col("others") > p.few) & (F.col("others") < p.stuck * F.col("above")) & F.lit(level + 1 < p.levels)
+        open_ = stored(labelled.drop("above").join(sizes, "key"), "tree-open")
+        ended.append(open_.where(~going))
+        if sizes.where(going).isEmpty():
+            break
+        going_on = open_.where(going).select("key", "node", F.col("others").alias("above"))
+        rows = going_on.join(nodes.select("node", "sig"), "node")
+    return reduce(DataFrame.union, leaves), [cells(x, p.few) for x in ended], root, sets
+
+
+def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (``doc_id, at, n_shingles, node``) and the stored component of each ``node``.
+
+    ``first`` names a component's first document: ``no_id, doc_id, at``.
+    """
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs, p), "signatures")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("low").alias("low")), "nodes")
-    leaves, large = tree_leaves(nodes, p)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    nodes = stored(nodes.select("node", "first", "first.doc_id", "first.at", "sig", "low"), "nodes")
     low = nodes.select("node", "low")
+    leaves, large, root, sets = grown(docs, nodes, p)
 
-    near = leaves if large is None else leaves.union(chunked(large, p))
-    pairs = stored(candidates(near.join(low, "node"), p), "pairs")
-
-    # Every node with a likely partner is in a pair, or in a group that is still large.
+    pairs = stored(candidates(labelled_by(leaves, root).join(low, "node"), p), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
-    wanted = wanted if large is None else wanted.union(large.select("node"))
-    ids = nodes.join(wanted.distinct(), "node", "left_semi").select("doc_id")
-    sets = stored(full_sets(docs.join(ids, "doc_id", "left_semi"), p), "sets")
-    links = stored(confirmed(pairs, sets, p), "links")
-    roots = connected_components(links)
+    if sets is None:
+        sets = sets_of(docs, nodes, wanted, p)
+    else:
+        sets = sets.union(sets_of(docs, nodes, wanted.join(sets.select("node"), "node", "left_anti"), p))
+    root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
 
     # What shares a leaf but not a component is compared exhaustively.  A node
     # without a set has no likely partner in its leaves.
-    root = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    likely = stored(sets.select("node").distinct(), "likely")
-    open_leaves = unsettled(leaves.join(likely, "node", "left_semi"), root)
-    if large is not None:
-        # A group that is one component by now needs no more comparisons.
-        open_leaves = open_leaves.union(unsettled(cells(unsettled(large, root), p), root))
-    small_batches(docs.sparkSession, 500)
-    more = stored(links_across(open_leaves.join(low, "node").join(sets, "node"), p), "links")
-    roots = connected_components(roots.union(more)) if not more.isEmpty() else roots
-
-    placed = nodes.select("node", "doc_id").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed, "placed")
-    least = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    component = stored(placed.join(least, "root").select("node", "component_id"), "node-components")
-    own = rows.select("doc_id", "n_shingles", "node").join(component, "node", "left")
-    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return own.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    likely = stored(sets.select("node"), "likely")
+    open_leaves = [unsettled(leaves.join(likely, "node", "left_semi"), root)]
+    open_leaves += [unsettled(x.select("key", "node"), root) for x in large]
+    members = reduce(DataFrame.union, open_leaves)
+    more = stored(links_across(members.join(low, "node").join(sets, "node"), p), "links")
+    if not more.isEmpty():
+        root = roots_of(reduce(DataFrame.union, [*as_edges(root), more]))
+
+    placed = stored(labelled_by(nodes.select("node", "first"), root), "placed")
+    least = stored(placed.groupBy("root").agg(F.min("first").alias("first")), "least")
+    return rows.select("doc_id", "at", "n_shingles", "node"), stored(placed.select("node", "root").join(least, "root").select("node", "first"), "node-components")
+
+
+def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``."""
+    rows, component = near_groups(docs, p)
+    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    own = rows.join(component, "node", "left").select("doc_id", "n_shingles", component_id.alias("component_id"))
+    return own.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each group; all columns stay.
+    """The rows of ``docs`` without their near duplicates: the first of each group by id; all columns stay.
 
-    Repeated rows of one id and text are one document, of which one row stays.
+    Rows with an id come first.  Rows that repeat id and text are one document,
+    of which one row stays (also if the text is null); so a group without any id
+    leaves one row as well.
     """
-    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    rows, component = near_groups(docs, p)
+    placed = rows.join(component, "node", "left")
+    stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
+    kept = stored(placed.where(stays).groupBy("doc_id", "at").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("kept_id"), F.col("at").alias("kept_at"), "rows"), "kept")
+    same: Column = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (text_hash() == F.col("kept_at"))
+    out = docs.join(kept.select("kept_id", "kept_at"), same, "left_semi")
+    return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -8,7 +8,8 @@ over the remaining capacity finds that sequence.  Shards bound the memory of a
 task at every input size; each wastes a part of its last sequences only.
 
 Null and empty texts are one piece, the end id alone.  Repeated rows are packed
-one by one; ties in length are taken in the order of ``doc_id`` and ``start``.
+one by one; ties in length are taken in the order of ``doc_id`` (as text, nulls last) and
+``start``.  A null id is carried like any other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import with_long_id, with_text_id
 from .tokens import encoder
 
 WINDOW = 2048
@@ -79,8 +80,6 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int
 
     Ids are little-endian unsigned 32-bit integers; ``end_id`` closes each document.
     """
-    small_batches(docs.sparkSession)
-
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
         for pdf in batches:
@@ -104,18 +103,21 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    rows = with_text_id(docs.select("doc_id", "text"))
+    return with_long_id(rows.mapInPandas(pieces, "doc_id string, start long, length long, doc_tokens long, ids binary"))
 
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; other columns are carried along.
 
-    ``pieces`` is read twice (once for its count), so it should be a stored table.
+    ``pieces`` is read twice (once for its count), so it should be a stored
+    table.  Its rows are dealt by their numbers, so that repeated or null ids
+    spread as well.
     """
     shards = max(1, -(-pieces.count() // shard))
     fields = pieces.columns
-    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    dealt = with_text_id(pieces).withColumn("__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    schema = with_text_id(pieces).schema.add("sequence_id", "long").add("offset", "long")
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
@@ -125,4 +127,4 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard: int = SHARD) ->
         out["offset"] = np.array(offsets, np.int64)
         return out
 
-    return dealt.groupBy("__shard").applyInPandas(packed, schema)
+    return with_long_id(dealt.groupBy("__shard").applyInPandas(packed, schema))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, slices, small_batches
+from .common import bounded_batches, filled, slices, with_long_id, with_text_id
 from .hashed_text import Sparse, TokenCodes, adam, sampled_rows, sigmoid, sparse_rows, token_and_shape
 
 BUCKETS = 1 << 16
@@ -144,7 +144,6 @@ class _Scorer:
 
 def predict_quality(docs: DataFrame, model: OrdinalModel, tail: int, keep_at: float = 0.5) -> DataFrame:
     """``doc_id, expected_grade, p_tail, kept`` of every row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,12 +154,13 @@ def predict_quality(docs: DataFrame, model: OrdinalModel, tail: int, keep_at: fl
                 grade, p = scorer.of(texts[a:b])
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "expected_grade": grade, "p_tail": p, "kept": p >= keep_at})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
+    rows = with_text_id(docs.select("doc_id", "text"))
+    return with_long_id(rows.mapInPandas(run, "doc_id string, expected_grade double, p_tail double, kept boolean"))
 
 
 def selected(docs: DataFrame, model: OrdinalModel, tail: int, keep_at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model keeps; all columns stay."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import filled, slices, small_batches
+from .common import filled, slices, with_long_id, with_text_id
 from .hashed_text import WORDS_ONLY, Sparse, TokenCodes, adam, sampled_rows, sigmoid, sparse_rows, word_features
 
 BUCKETS = 1 << 18
@@ -138,7 +138,6 @@ def fit_toxicity(labels: DataFrame, docs: DataFrame, categories: list[str], samp
 
 def predict_toxicity(docs: DataFrame, model: ChainModel, flag: str, flag_at: float = 0.5) -> DataFrame:
     """``doc_id``, ``p_<category>`` of each category, and ``flagged`` by category ``flag``."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = model.categories.index(flag)
 
@@ -160,5 +159,5 @@ def predict_toxicity(docs: DataFrame, model: ChainModel, flag: str, flag_at: flo
                 p = m.probabilities(sums)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b]} | {f"p_{c}": p[:, j] for j, c in enumerate(m.categories)} | {"flagged": p[:, at] >= flag_at})
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in model.categories) + ", flagged boolean"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, " + ", ".join(f"p_{c} double" for c in model.categories) + ", flagged boolean"
+    return with_long_id(with_text_id(docs.select("doc_id", "text")).mapInPandas(run, schema))
