@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, slices, small_batches
+from .common import filled, slices
 
 #: ASCII characters that aren't letters or digits become spaces.
 WORDS_ONLY = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -82,19 +82,21 @@ class TokenCodes:
 
 
 def sampled_rows(rated: DataFrame, docs: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Texts of at most ``limit`` rated rows, taken in the order of a hash of the id.
+    """One text of each of at most ``limit`` rated ids, taken in the order of a hash of the id.
 
-    The sample is bounded, so it is broadcast; the documents aren't shuffled.
+    The ids are bounded, so they are broadcast; the documents aren't shuffled.
+    Of the rows that repeat an id, the text with the least hash is taken, before
+    anything leaves the cluster.
     """
     rated = rated.where(" and ".join(f"{k} is not null" for k in ["doc_id", *keys])).select("doc_id", *keys)
     sample = rated.groupBy("doc_id").agg(*(F.max(k).alias(k) for k in keys)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", *keys)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("one"), *(F.first(k).alias(k) for k in keys))
+    return one.select("doc_id", "one.text", *keys)
 
 
 def sparse_rows(sample: DataFrame, columns: list[str], rows: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]) -> pd.DataFrame:
     """Sparse features of a bounded sample on the driver, packed as bytes, in the order of the id."""
-    small_batches(sample.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = filled(pdf["text"])
