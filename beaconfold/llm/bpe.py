@@ -226,22 +226,24 @@ class Lexicon:
 
 
 def frequent_chunks(docs: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
-    """The most frequent chunks of all texts, of two occurrences or more: at most ``size``, and all of a count or none.
+    """The most frequent chunks of all texts, of two occurrences or more: about ``size`` at most.
 
     Counted in the cluster with partial sums.  The driver gets how many chunks
-    have each count, sets the least count from that, and then gets ``size``
-    short strings at most, however many partitions there are.
+    have each count, sets the least count from that, and then gets the chunks,
+    short strings.  Where not all chunks of the least count fit, a share of them
+    is taken by a hash, so that any number of ties fills the lexicon.
     """
     chunk = F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("chunk")
     short = docs.select(chunk).where((F.col("chunk") != "") & (F.octet_length("chunk") <= LONGEST))
     counted = stored(short.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1"), "chunk-counts")
-    least, total = None, 0
+    least, share, total = 1 << 62, 0.0, 0
     for r in sorted(counted.groupBy("n").agg(F.count("*").alias("chunks")).collect(), key=lambda r: -r.n):
+        least, share = r.n, min(1.0, (size - total) / r.chunks)
         total += r.chunks
-        if total > size:
+        if total >= size:
             break
-        least = r.n
-    return [] if least is None else sorted(r.chunk for r in counted.where(F.col("n") >= least).select("chunk").collect())
+    draw = F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return sorted(r.chunk for r in counted.where((F.col("n") > least) | (F.col("n") == least) & draw).select("chunk").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_SIZE) -> bytes:

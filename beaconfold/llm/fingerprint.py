@@ -9,10 +9,14 @@ sketch.  Sketches of parts merge into the sketch of the whole, and the share of
 the smaller sketch found in the larger one estimates containment, however
 unequal the texts are.  Two empty sketches are alike (1), an empty and another
 one aren't (0).  Null texts count as empty; equal texts have equal sketches.
+Repeated rows give a row each; rows of one id (null ids too) are ordered by
+text and stand in one range.  Other columns than ``doc_id`` and ``text`` are
+ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,14 @@ def resemblance(a: str, b: str) -> Column:
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1.0D else cast(size(array_intersect({a}, {b})) as double) / size(array_union({a}, {b})) end")
 
 
+def _bounds_up_to(bounds: np.ndarray, at: Column) -> Column:
+    """How many of the sorted ``bounds`` are at most ``at``, by halving."""
+    if not len(bounds):
+        return F.lit(0)
+    values, steps = F.lit(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) <= at, n + step).otherwise(n))
+
+
 def with_next(df: DataFrame, key: str, carried: list[str], buckets: int) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows in descending ``key``; the first follows the last.
 
@@ -58,22 +70,23 @@ def with_next(df: DataFrame, key: str, carried: list[str], buckets: int) -> Data
     which they are next.  The driver gets the ranges' bounds and largest keys
     only.  Null keys come last; rows of equal keys are in order of ``carried``.
     """
-    at = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    ids = df.select(at.alias("at"))
-    found = ids.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 10_000).alias("p")).first().p
-    bounds = sorted(set(found or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("__at"))) if bounds else F.lit(0)
-    tops = sorted(((r.b, r.top) for r in ids.withColumnRenamed("at", "__at").groupBy(bucket.alias("b")).agg(F.max("__at").alias("top")).collect()), reverse=True)
+    least = -(1 << 63)
+    at = F.coalesce(F.col(key), F.lit(least))
+    ids = df.select(at.alias("__at"))
+    shares = F.lit(np.arange(1, buckets) / buckets)
+    found = ids.agg(F.percentile_approx("__at", shares, max(10_000, 10 * buckets)).alias("p")).first().p if buckets > 1 else None
+    bounds = np.array(sorted(set(found or [])), np.int64)
+    bucket = _bounds_up_to(bounds, F.col("__at"))
+    tops = {r.b: r.top for r in ids.groupBy(bucket.alias("b")).agg(F.max("__at").alias("top")).collect()}
     # The range that a range's first rows are next to: the one above, or the lowest for the highest.
-    before = {b: tops[i - 1][0] for i, (b, _) in enumerate(tops)}
-    if not tops:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    top = F.create_map(*(F.lit(x) for b, t in tops for x in (b, t)))
-    above = F.create_map(*(F.lit(x) for b, p in before.items() for x in (b, p)))
+    used = sorted(tops, reverse=True)
+    before = {b: used[i - 1] for i, b in enumerate(used)}
+    top = F.lit(np.array([tops.get(b, least) for b in range(len(bounds) + 1)], np.int64))
+    above = F.lit(np.array([before.get(b, 0) for b in range(len(bounds) + 1)], np.int32))
     dealt = df.withColumn("__at", at).withColumn("__own", bucket)
     own = F.struct(F.col("__own").alias("bucket"), F.lit(0).alias("copy"))
-    copy = F.struct(above[F.col("__own")].alias("bucket"), F.lit(1).alias("copy"))
-    places = F.when(F.col("__at") == top[F.col("__own")], F.array(own, copy)).otherwise(F.array(own))
+    copy = F.struct(F.get(above, F.col("__own")).alias("bucket"), F.lit(1).alias("copy"))
+    places = F.when(F.col("__at") == F.get(top, F.col("__own")), F.array(own, copy)).otherwise(F.array(own))
     dealt = dealt.withColumn("__place", F.explode(places)).withColumn("__bucket", F.col("__place.bucket")).withColumn("__copy", F.col("__place.copy"))
     w = Window.partitionBy("__bucket").orderBy("__copy", F.desc("__at"), *carried)
     followed = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
@@ -86,8 +99,7 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     The edited text has its last half (rounded down) replaced by as many first
     code points of the next document in descending ``doc_id``.
     """
-    # Ranges are named in the plan, so their number has a bound; a range's task spills if it is large.
-    buckets = min(2000, 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     followed = with_next(with_sketch(texts, "text", "sketch", shingle, scale), "doc_id", ["text", "sketch"], buckets)
     edited = followed.withColumn("n_chars", F.length("text").cast("long")).withColumn(

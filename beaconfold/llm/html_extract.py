@@ -5,25 +5,29 @@ neighbour in that order, of the same host, with the longer common path.  The
 text lines (blocks) of both pages are aligned by a longest common subsequence,
 and lines that both have are deleted, except where markup says that they belong
 to the article: articles quote each other, and copies of an article would
-delete one another.  Markup also settles what never is main text (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, comments).
-Differencing decides all other lines, on pages with and without a marked
-article; of those that it leaves, lines that are mostly links go.
+delete one another.  Differencing can't find what only one page has, so markup
+also deletes what never is main text (menus, page headers, footers, sidebars,
+notices, adverts, forms, scripts, comments), and lines that stand in links as a
+whole, outside of an article, are menu items.
 
 A block's white space becomes single spaces and character references are
-decoded; blocks are joined by ``\\n``.  Null and empty pages have no text.  A
+decoded; blocks are joined by ``\n``.  Null and empty pages have no text.  A
 page that shares all lines that may be main text with its pair is a copy of it;
-the other neighbour decides then, and if that is a copy too the lines stay.  Rows with equal URLs are ordered by ``page_id``; a null URL is an empty one.
+the other neighbour decides then, and if that is a copy too the lines stay.
+Rows with equal host and path are ordered by ``page_id`` (nulls first), then by
+URL and html; a null URL is an empty one.  Repeated rows give a row each.  Only
+the columns ``page_id``, ``url`` and ``html`` are read, others are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,12 +172,36 @@ def page_lines(html: str) -> list[Line]:
     return lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``.
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each prefix of ``b``, by one row of bits."""
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a bit of b is cleared where one more line than before it is common
+    for x in a:
+        both = row & places.get(x, 0)
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[int], b: list[int], out: list[int], at: int = 0) -> None:
+    """Adds the positions in ``a`` (from ``at`` on) of a longest common subsequence; halves ``a``, so that space is linear."""
+    if not a or not b:
+        return
+    if len(a) == 1:
+        if a[0] in b:
+            out.append(at)
+        return
+    half = len(a) // 2
+    cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    _aligned(a[:half], b[:cut], out, at)
+    _aligned(a[half:], b[cut:], out, at + half)
 
-    Common ends are matched first; the rest is aligned by increasing runs of
-    matching positions, or by rows of bits where lines repeat very often.
-    """
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``; common ends are matched first."""
     n, m = len(a), len(b)
     head = 0
     while head < min(n, m) and a[head] == b[head]:
@@ -181,54 +209,13 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     tail = 0
     while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
-    out = {*range(head), *range(n - tail, n)}
-    places: dict[str, list[int]] = {}
-    for j in range(head, m - tail):
-        places.setdefault(b[j], []).append(j)
-    middle = range(head, n - tail)
-    if sum(len(places.get(a[i], ())) for i in middle) > 2_000_000:
-        return out | _common_by_bits(a, b, middle, head, m - tail)
-    ends: list[int] = []  # least end in b of a subsequence of each length
-    links: list[tuple[int, tuple | None]] = []
-    for i in middle:
-        for j in reversed(places.get(a[i], ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
-    return out
-
-
-def _common_by_bits(a: list[str], b: list[str], middle: range, low: int, high: int) -> set[int]:
-    """The same by one row of bits for each line of ``a``."""
-    masks: dict[str, int] = {}
-    for j in range(low, high):
-        masks[b[j]] = masks.get(b[j], 0) | 1 << (j - low)
-    full = (1 << (high - low)) - 1
-    rows, v = [], full
-    for i in middle:
-        match = masks.get(a[i], 0)
-        v = ((v + (v & match)) | (v & ~match)) & full
-        rows.append(v)
-    out, j = set(), high - low - 1
-    for k in range(len(rows) - 1, -1, -1):
-        above = rows[k - 1] if k else full
-        while j >= 0 and rows[k] >> j & 1:
-            j -= 1
-        if j < 0:
-            break
-        if not above >> j & 1:
-            continue
-        out.add(middle[k])
-        j -= 1
-    return out
+    inner_a, inner_b = a[head : n - tail], b[head : m - tail]
+    numbers = {x: i for i, x in enumerate(set(inner_a) & set(inner_b))}
+    # Lines that only one page has are in no common subsequence.
+    kept = [i for i, x in enumerate(inner_a) if x in numbers]
+    found: list[int] = []
+    _aligned([numbers[inner_a[i]] for i in kept], [numbers[y] for y in inner_b if y in numbers], found)
+    return {*range(head), *range(n - tail, n), *(head + kept[k] for k in found)}
 
 
 def _closeness(a: Page, b: Page | None) -> int:
@@ -243,56 +230,96 @@ def _closeness(a: Page, b: Page | None) -> int:
 
 
 def main_text(page: Page, before: Page | None, after: Page | None) -> str:
-    """The page's marked lines, and the open ones that the nearer neighbour doesn't share, joined."""
+    """The page's lines less those that its pair shares, unless an article protects them, and those that markup rules out."""
     near, far = (before, after) if _closeness(page, before) >= _closeness(page, after) else (after, before)
     body = [i for i, x in enumerate(page.lines) if x.region != OUT]
     shared: set[int] = set()
-    if any(page.lines[i].region == OPEN for i in body):
+    if any(page.lines[i].region == OPEN for i in body):  # else there is nothing to delete
         for other in (near, far):
             if _closeness(page, other) >= 0:
                 common = common_lines([x.text for x in page.lines], [x.text for x in other.lines])
                 if not common.issuperset(body):  # a copy of this page says nothing about its lines
                     shared = common
                     break
-    left = [x for i in body if (x := page.lines[i]).region == MAIN or i not in shared and 2 * x.linked <= len(x.text)]
+    left = [x for i in body if (x := page.lines[i]).region == MAIN or i not in shared and x.linked < len(x.text)]
     return "\n".join(x.text for x in left)
 
 
+def _placed(pages: DataFrame) -> DataFrame:
+    url = F.coalesce("url", F.lit(""))
+    return pages.select(
+        "page_id",
+        "url",
+        "html",
+        F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
+    )
+
+
+def _place(host: str, path: str, page_id: str | int | None) -> tuple[str, str, int]:
+    return host, path, -(1 << 64) if page_id is None else int(page_id)
+
+
+def _ranges(placed: DataFrame) -> list[tuple[tuple, tuple]]:
+    """First and last place of consecutive ranges of pages, as many as there are shuffle partitions at most."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("host", "path", "page_id")
+    keys = placed.select("host", "path", "page_id").repartitionByRange(parts, "host", "path", "page_id").select(F.spark_partition_id().alias("range"), key.alias("key"))
+    ends = keys.groupBy("range").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()
+    return sorted((_place(*r.first), _place(*r.last)) for r in ends)
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
-    Ranges of (host, path) are dealt to partitions, so a large host is spread; a
-    range's first and last page are paired inside their range.
+    Ranges of (host, path) are dealt to tasks, so a large host is spread.  The
+    first and last page of a range are dealt to the neighbouring range as well,
+    so that every page meets its neighbours whatever the number of ranges is.
+    The driver gets the ends of the ranges, two places for each.
     """
+    placed = _placed(pages)
+    ranges = _ranges(placed)
+    firsts = [a for a, _ in ranges]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            places = [_place(*x) for x in pdf[["host", "path", "page_id"]].itertuples(index=False, name=None)]
+            own = [bisect_right(firsts, x) - 1 for x in places]
+            yield pdf.assign(range=own, own=True)
+            for step in (-1, 1):
+                edge = [i for i, (r, x) in enumerate(zip(own, places)) if x == ranges[r][step > 0] and 0 <= r + step < len(ranges)]
+                if edge:
+                    yield pdf.iloc[edge].assign(range=[own[i] + step for i in edge], own=False)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before: Page | None = None
         current: Page | None = None
         done: list[tuple] = []
+        columns = ["page_id", "url", "text", "n_chars"]
+        number = -1
 
-        def row(page: Page, a: Page | None, b: Page | None) -> tuple:
-            text = main_text(page, a, b)
-            return (*page.row, text, len(text))
+        def settle(page: Page | None, a: Page | None, b: Page | None) -> None:
+            if page is not None and page.row:
+                text = main_text(page, a, b)
+                done.append((*page.row, text, len(text)))
 
-        columns = ["page_id", "url", "text", "n_chars"]
         for pdf in batches:
-            for page_id, url, html, host, path in pdf[["page_id", "url", "html", "host", "path"]].itertuples(index=False, name=None):
-                page = Page(host, path, (page_id, url), page_lines(html) if isinstance(html, str) else [])
-                if current is not None:
-                    done.append(row(current, before, page))
+            for page_id, url, html, host, path, at, own in pdf[["page_id", "url", "html", "host", "path", "range", "own"]].itertuples(index=False, name=None):
+                page = Page(host, path, (page_id, url) if own else (), page_lines(html) if isinstance(html, str) else [])
+                if at != number:
+                    settle(current, before, None)
+                    before, current, number = None, page, at
+                    continue
+                settle(current, before, page)
                 before, current = current, page
             if done:
                 yield pd.DataFrame(done, columns=columns)
-                done = []
-        if current is not None:
-            yield pd.DataFrame([row(current, before, None)], columns=columns)
-
-    url = F.coalesce("url", F.lit(""))
-    placed = pages.select(
-        "page_id",
-        "url",
-        "html",
-        F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
-    )
-    ordered = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return with_long_id(with_text_id(ordered, "page_id").mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")
+                done.clear()
+        settle(current, before, None)
+        if done:
+            yield pd.DataFrame(done, columns=columns)
+
+    dealt = with_text_id(placed, "page_id").mapInPandas(deal, "page_id string, url string, html string, host string, path string, range int, own boolean")
+    order = ["range", "host", "path", F.col("page_id").cast("long"), "url", "html"]
+    ordered = dealt.repartition("range").sortWithinPartitions(*order)
+    return with_long_id(ordered.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

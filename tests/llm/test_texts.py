@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from beaconfold.llm import fingerprint, llr_rules, queries
-from beaconfold.llm.html_extract import Page, _common_by_bits, common_lines, extract_main_text, main_text, page_lines
+from beaconfold.llm.html_extract import Page, common_lines, extract_main_text, main_text, page_lines
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \n\t ", "a b c d e f g h " * 10, "same line\nsame line\n\nsame line\n", "# * $ | <x>", "é 字   x", "w " * 20_000, "one two three", "one two three"]
@@ -102,11 +102,12 @@ def lcs(a, b):
 
 def test_common_lines_are_a_longest_subsequence():
     rnd = random.Random(5)
-    for _ in range(800):
-        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(2))
-        for found in (common_lines(a, b), _common_by_bits(a, b, range(len(a)), 0, len(b))):
-            rest = iter(b)
-            assert len(found) == lcs(a, b) and all(x in rest for x in [a[i] for i in sorted(found)])
+    for k in range(800):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12 + k // 20))] for _ in range(2))
+        found, rest = common_lines(a, b), iter(b)
+        assert len(found) == lcs(a, b) and all(x in rest for x in [a[i] for i in sorted(found)])
+    same = ["x", "y"] * 20_000  # lines that repeat very often
+    assert len(common_lines(["a", *same], [*same[1:], "b"])) == len(same) - 1
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">Cookies</div>
@@ -144,12 +145,18 @@ def test_differencing_deletes_what_unmarked_pages_share(spark):
     rows = [(i, f"https://h.org/a/{i}", page.format(f"unique{i}")) for i in range(6)]
     rows += [(10, "https://h.org/b/1", PAGE), (11, "https://h.org/b/2", PAGE), (12, None, None), (13, "x", ""), (14, "https://solo.org/", "<p>alone</p>"), (14, "https://solo.org/", "<p>alone</p>")]
     rows += [(15, "https://v.org/", "<p>" + "long " * 50_000 + "</p><p>broken <a href='x")]
-    pages = spark.createDataFrame([(*r, "n") for r in rows], "page_id long, url string, html string, text string").coalesce(1)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    pages = spark.createDataFrame([(*r, "n") for r in rows], "page_id long, url string, html string, text string")
+    results = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = extract_main_text(pages).collect()
+        for partitions in (1, 4, 8):  # pages at the edges of ranges meet their neighbours as well
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            results.append(sorted(extract_main_text(pages).collect(), key=str))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = results[0]
+    assert results == [got] * 3
     texts = {r.page_id: r.text for r in got}
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert [texts[i] for i in range(6)] == [f"unique{i} text of page\nmore unique{i}" for i in range(6)]
@@ -158,6 +165,27 @@ def test_differencing_deletes_what_unmarked_pages_share(spark):
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+def test_differencing_alone_finds_the_articles_of_unmarked_pages(spark):
+    """Pages of several hosts without any telling tag or name: what the pages of a host share goes, on every page."""
+    rnd, rows, want = random.Random(7), [], {}
+    for host in range(5):
+        chrome = [f"<div>host {host} line {k}</div>" for k in range(12)]
+        for n in range(9):
+            own = [f"text {rnd.random()} of {host}/{n}" for _ in range(rnd.randint(1, 6))]
+            want[len(rows)] = "\n".join(own)
+            rows.append((len(rows), f"https://h{host}.org/d{n % 3}/{n}", "<body>" + "".join([*chrome[:7], *(f"<p>{x}</p>" for x in own), *chrome[7:]])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    assert got == want
+    assert sum(got[i] != "\n".join(x.text for x in page_lines(h)) for i, _, h in rows) == len(rows)  # pages that differencing changes
+
+
+def test_page_ids_beside_null_ids(spark):
+    big = (1 << 53) + 1
+    pages = spark.createDataFrame([(None, "https://a.org/1", "<p>a</p>"), (big, "https://a.org/1", "<p>b</p>"), (big, "https://a.org/1", "<p>b</p>")], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id or 0, r.text) for r in extract_main_text(pages).collect()) == [(0, "a"), (big, "b"), (big, "b")]
+
+
 def test_differencing_decides_unmarked_lines_beside_marked_ones():
     html = '<body><div>Top of site</div><h1>Head {0}</h1><p>lead {0}</p><div class="entry"><p>marked {0}</p><p>quote</p></div><p>tail {0}</p><p><a href="/">go {0}</a></p><div>About us</div></body>'
     one, two, alone = (Page(h, f"/a/{n}", (n,), page_lines(html.format(n))) for h, n in (("h", 1), ("h", 2), ("solo", 3)))
