@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filled, slices, stored, with_long_id, with_text_id
-from .tokens import ChunkStore, split_chunks, tail
+from .tokens import ChunkStore, numbered_chunks, tail
 
 LEXICON_SIZE = 50_000
 LONGEST = 48  #: bytes of the longest chunk that enters the lexicon
@@ -262,7 +262,7 @@ class _Worker:
         self.store, self.decoded = ChunkStore(), []
 
     def codes(self, chunks: list[str]) -> np.ndarray:
-        """Numbers of the chunks; new ones are looked up in the lexicon, or merged."""
+        """Numbers of distinct chunks; new ones are looked up in the lexicon, or merged."""
         store = self.store
         codes = np.fromiter(map(store.codes.__getitem__, chunks), np.int64, len(chunks))
         fresh = tail(store.codes, store.known)
@@ -301,13 +301,11 @@ class BpeCodec:
 
     def encode_texts(self, texts: list[str], decode: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids joined, each text's bounds in them, and on demand the decoded texts."""
-        worker, chunks, ends = self._worker(), [], [0]
+        worker = self._worker()
         if len(worker.store.codes) > worker.keep:
             worker.reset()
-        for t in texts:
-            chunks += split_chunks(t)
-            ends.append(len(chunks))
-        codes = worker.codes(chunks)
+        distinct, place, ends = numbered_chunks(texts)
+        codes = worker.codes(distinct.to_pylist())[place]
         ids, run = worker.store.gather(codes)
         decoded: list[str] = []
         if decode:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many characters inside a task, so
 #: that a task's memory follows the slice and not the partition.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import stored, with_long_id, with_text_id
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 16
@@ -58,47 +58,53 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, block_i
     Documents are dealt by ranges of ``doc_id``, so part numbers follow the
     order of ids and every text is shuffled and encoded once.
     """
-    small_batches(docs.sparkSession)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
         bits = bits_for(max(enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id))
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        held_ids, held_docs, held_lengths, held = [], [], [], 0
+        runs: list[np.ndarray] = []  # ids of whole documents, a run for each stretch of a slice
+        keys: list[int | None] = []
+        lengths: list[int] = []
+        held = 0
 
         def flush() -> pd.DataFrame:
-            nonlocal block, before, held_ids, held_docs, held_lengths, held
-            row = pd.DataFrame([{"part": part, "block": block, "before": before, "n_ids": held, "bits": bits, "doc_ids": held_docs, "doc_lengths": held_lengths, "payload": pack(np.concatenate(held_ids), bits)}])
+            nonlocal block, before, runs, keys, lengths, held
+            row = pd.DataFrame([{"part": part, "block": block, "before": before, "n_ids": held, "bits": bits, "doc_ids": keys, "doc_lengths": lengths, "payload": pack(np.concatenate(runs), bits)}])
             block, before = block + 1, before + held
-            held_ids, held_docs, held_lengths, held = [], [], [], 0
+            runs, keys, lengths, held = [], [], [], 0
             return row
 
         for pdf in batches:
-            keys = [None if pd.isna(k) else int(k) for k in pdf["doc_id"]]
+            own = [None if k is None else int(k) for k in pdf["doc_id"]]
             for first, ids, bounds in enc.sliced(pdf["text"]):
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
-                for i in range(len(bounds) - 1):
-                    held_ids.append(ids[bounds[i] : bounds[i + 1]])
-                    held_docs.append(keys[first + i])
-                    held_lengths.append(int(bounds[i + 1] - bounds[i]))
-                    held += held_lengths[-1]
+                at, n = 0, len(bounds) - 1
+                while at < n:
+                    # As many documents as fill the block, one at least.
+                    to = min(n, max(at + 1, int(np.searchsorted(bounds, bounds[at] + block_ids - held))))
+                    runs.append(ids[bounds[at] : bounds[to]])
+                    keys += own[first + at : first + to]
+                    lengths += np.diff(bounds[at : to + 1]).tolist()
+                    held += len(runs[-1])
                     if held >= block_ids:
                         yield flush()
+                    at = to
         if held:
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInPandas(blocks, BLOCKS), "token-files")
+    return stored(with_text_id(ordered).mapInPandas(blocks, BLOCKS), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document; ids as little-endian unsigned 32-bit integers.
 
     ``start`` adds the ids of earlier parts, of earlier blocks and of earlier
-    documents; the table of parts has one row for each written part.
+    documents.  The table of parts has one row for each task that wrote, so it is
+    broadcast and the payloads stay where they are read.
     """
-    small_batches(files.sparkSession, 16)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     starts = sums.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("part_start"))
 
@@ -110,11 +116,12 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 ids = unpack(b.payload, b.bits, 0, b.n_ids)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if k is None or k != k else int(k) for k in b.doc_ids], "Int64"),
+                        "doc_id": list(b.doc_ids),
                         "start": b.part_start + b.before + ends - lengths,
                         "n_tokens": lengths,
                         "ids": [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)],
                     }
                 )
 
-    return files.join(starts, "part").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
+    placed = files.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).join(F.broadcast(starts), "part")
+    return with_long_id(placed.mapInPandas(documents, "doc_id string, start long, n_tokens long, ids binary"))
