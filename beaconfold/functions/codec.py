@@ -142,6 +142,11 @@ def moved_cursor(at: Column, by: int, size: Column) -> Column:
     return F.when(size > 0, F.pmod(at + by, size)).otherwise(F.lit(0))
 
 
+def thousands(value: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(value.cast("long"), 0)
+
+
 def kilobytes(size: Column) -> Column:
     """Whole kilobytes (1024), rounded down."""
     return F.floor(size / 1024).cast("long")

@@ -25,6 +25,17 @@ def fanout_by_bits(events: DataFrame, subs: DataFrame) -> DataFrame:
     return events.join(bits, events["type"] == bits["bit"]).drop("bit")
 
 
+def fanout_while_subscribed(events: DataFrame, subs: DataFrame) -> DataFrame:
+    """Every event for each subscription that has its bit and is held when it happens.
+
+    ``subs(sub_id, mask, since, until)`` changes over time; ``until`` is null while
+    a subscription lasts.  Masks are exploded into bits, so this is an equi join
+    that a stream of events can take part in as well.
+    """
+    held = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    return fanout_by_bits(events, subs).where(held)
+
+
 def unsubscribe_status(subs: DataFrame, sub_ids: DataFrame) -> DataFrame:
     """0 for a known subscription, -1 for an unknown one."""
     known = subs.select("sub_id").withColumn("__known", F.lit(1))

@@ -9,38 +9,53 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
+#: Groups up to which their statistics are broadcast to the samples.
+FEW_GROUPS = 10_000
+
+
+def _broadcast_if_few(stats: DataFrame) -> DataFrame:
+    """``stats``, broadcast if it has few rows; else as it is, so that Spark joins by a shuffle."""
+    rows = stats.limit(FEW_GROUPS + 1).collect()
+    return F.broadcast(stats.sparkSession.createDataFrame(rows, stats.schema)) if len(rows) <= FEW_GROUPS else stats
+
+
 def order_statistics(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """``n, mean, median, p99, min, max`` of each group, exactly.
 
     The 99th percentile is the nearest rank: the value at index
     ``min(floor(n * 0.99), n - 1)`` of the sorted values.  Sorting a group in one
     task doesn't hold for large groups, so approximate percentiles bracket the
-    ranks first; only the distinct values inside the brackets are counted and
-    ranked, after a partial count of what lies below them.
+    ranks first: a partial count tells how many values lie below the brackets,
+    and only the distinct values inside them are ranked.
     """
     kept = samples.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
     slack = 2.0 / ACCURACY
     ends = [max(0.0, 0.5 - slack), 0.5 + slack, 0.99 - slack, min(1.0, 0.99 + slack)]
+    n = F.col("n")
     stats = kept.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("__v").alias("mean"), F.min("__v").alias("min"), F.max("__v").alias("max"),
         F.percentile_approx("__v", ends, ACCURACY).alias("__q"),
     )
-    n = F.col("n")
-    ranks = F.array(
-        F.struct(F.lit(0).alias("which"), F.floor((n - 1) / 2).cast("long").alias("rank"), F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi")),
-        F.struct(F.lit(1).alias("which"), F.floor(n / 2).cast("long").alias("rank"), F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi")),
-        F.struct(F.lit(2).alias("which"), F.least(F.floor(n * F.lit(0.99)), n - 1).cast("long").alias("rank"), F.col("__q")[2].alias("lo"), F.col("__q")[3].alias("hi")),
-    )
-    wanted = stats.select(*by, F.inline(ranks))
-    # Values under the bracket count as one; those inside keep their value; larger ones don't matter.
-    near = kept.join(wanted, by).where("__v <= hi")
-    counted = near.withColumn("__in", F.when(F.col("__v") >= F.col("lo"), F.col("__v"))).groupBy(*by, "which", "rank", "__in").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by, "which").orderBy(F.asc_nulls_first("__in")).rowsBetween(Window.unboundedPreceding, 0))
-    at_rank = counted.withColumn("upto", upto).where("upto > rank").groupBy(*by, "which").agg(F.min("__in").alias("x"))
-    wide = at_rank.groupBy(*by).agg(*(F.max(F.when(F.col("which") == i, F.col("x"))).alias(f"__x{i}") for i in range(3)))
+    stats = _broadcast_if_few(stats)
+    bracket = lambda which: F.struct(F.lit(which).alias("which"), F.col("__q")[2 * which].alias("lo"), F.col("__q")[2 * which + 1].alias("hi"))
+    near = kept.join(stats.select(*by, F.array(bracket(0), bracket(1)).alias("__b")), by)
+    below = near.groupBy(*by).agg(*(F.count_if(F.col("__v") < F.col("__b")[i]["lo"]).alias(f"__below{i}") for i in range(2)))
+    inside = near.select(*by, "__v", F.explode(F.transform(F.filter("__b", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"])), lambda b: b["which"])).alias("which"))
+    counted = inside.groupBy(*by, "which", "__v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "which").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = [(0, F.floor((n - 1) / 2)), (0, F.floor(n / 2)), (1, F.least(F.floor(n * F.lit(0.99)), n - 1))]
+    placed = counted.withColumn("upto", upto).join(stats.select(*by, "n").join(below, by), by)
+    at = lambda which, rank: F.min(F.when((F.col("which") == which) & (F.col(f"__below{which}") + F.col("upto") > rank), F.col("__v")))
+    wide = placed.groupBy(*by).agg(*(at(which, rank).alias(f"__x{i}") for i, (which, rank) in enumerate(ranks)))
     return stats.join(wide, by).select(*by, "n", "mean", ((F.col("__x0") + F.col("__x1")) / 2).alias("median"), F.col("__x2").alias("p99"), "min", "max")
 
 
+def with_empty_groups(stats: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Statistics of all ``groups(by)``: those without samples have zeros."""
+    values = [c for c in stats.columns if c not in by]
+    return groups.select(*by).distinct().join(stats, by, "left").select(*by, *(F.coalesce(c, F.lit(0)).alias(c) for c in values))
+
+
 def verdicts(stats: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Measured groups that have a target: PASS if the median keeps to it, else OVER."""
     return stats.join(targets, key).withColumn("verdict", F.when(F.col("median") <= F.col("target"), "PASS").otherwise("OVER"))

@@ -32,16 +32,20 @@ def parsed_vectors(raw: DataFrame) -> DataFrame:
 
 def marked_json(spark: SparkSession, path: str, begin: str = "__BENCH_JSON_BEGIN__", end: str = "__BENCH_JSON_END__") -> DataFrame:
     """Rows of a JSON array that stands between two marks in text files."""
-    text = spark.read.text(path, wholetext=True)
+    return marked_rows(spark.read.text(path, wholetext=True), begin, end)
+
+
+def marked_rows(text: DataFrame, begin: str = "__BENCH_JSON_BEGIN__", end: str = "__BENCH_JSON_END__") -> DataFrame:
+    """The same of texts in column ``value``."""
     body = F.regexp_extract("value", f"(?s){begin}(.*?){end}", 1)
     return text.select(F.from_json(body, f"array<struct<{BENCH_RESULT.replace(' ', ':').replace(',:', ',')}>>").alias("rows")).select(F.inline("rows"))
 
 
-def size_columns(lines: DataFrame) -> DataFrame:
+def size_columns(lines: DataFrame, carried: list[str] = ()) -> DataFrame:
     """``name, value`` pairs of a header line and a line of numbers in one text; values that aren't numbers go."""
     cells = lambda at: F.split(_stripped(F.get(F.split("value", "\n"), F.lit(at))), r"\s+")
-    pairs = lines.select(F.inline(F.arrays_zip(cells(0).alias("name"), cells(1).alias("raw"))))
-    return pairs.select("name", F.expr("try_cast(raw as bigint)").alias("value")).where("value is not null")
+    pairs = lines.select(*carried, F.inline(F.arrays_zip(cells(0).alias("name"), cells(1).alias("raw"))))
+    return pairs.select(*carried, "name", F.expr("try_cast(raw as bigint)").alias("value")).where("value is not null")
 
 
 def exported_symbols(lines: DataFrame) -> DataFrame:

@@ -29,9 +29,30 @@ def tcp_lines(host: str, port: int, column: str = "line", timeout: float = 5.0)
     return lambda df, _batch: df.select(column).foreachPartition(send)
 
 
-def attach(lines: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start a stream of lines into ``sink``; ``stop()`` of the result detaches it."""
-    return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def attach(lines: DataFrame, sink: Callable[[DataFrame, int], None] | None, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a stream of lines into ``sink``, or to the console if there is none; ``stop()`` of the result detaches it.
+
+    With ``every`` ("100 milliseconds") batches start at that pace; without it
+    the stream ends once it has what is there.
+    """
+    writer = lines.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(sink) if sink else writer.format("console").option("truncate", "false")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def bench_document(results: DataFrame, begin: str = "__BENCH_JSON_BEGIN__", end: str = "__BENCH_JSON_END__") -> DataFrame:
+    """One text ``value`` with all ``results`` (a row for each benchmark) as a JSON array between two marks, times with two decimals.
+
+    The table of benchmarks is as long as the list of their names.
+    """
+    times = [c for c in results.columns if c not in ("name", "iterations")]
+    row = F.concat(
+        F.lit('{"name": '), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2),
+        *(F.format_string(f', "{c}": %.2f', F.col(c).cast("double")) for c in times),
+        F.format_string(', "iterations": %d}', F.col("iterations").cast("long")),
+    )
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", row.alias("row")))), lambda x: x["row"]), ",\n")
+    return results.agg(F.concat(F.lit(f"{begin}\n["), rows, F.lit(f"]\n{end}\n")).alias("value"))
 
 
 def diagnostics(registry: DataFrame, info: dict[str, str]) -> DataFrame:
