@@ -18,9 +18,10 @@ outside the largest component didn't fall below the share ``stuck`` of those
 above, or ``levels`` are used up) is compared chunk against chunk, so nothing is
 capped.
 
-Links are confirmed on full sets.  In leaves two rounds suffice: the first
-confirms a maximum spanning forest of each leaf by estimated similarity, the
-second compares exhaustively what the first left in different components.
+Links are confirmed on full sets.  In the ended tree nodes two rounds suffice:
+the first confirms a maximum spanning forest by estimated similarity, the second
+compares exhaustively what the first left in different components.  Full sets
+are made only for documents that likely are near another one.
 
 Recall: a tree node passes a pair at the threshold on to ``spare`` children on
 average, so that pairs don't die out with depth.  All ten trees lose such a pair
@@ -171,8 +172,13 @@ def full_sets(docs: DataFrame, p: NearDupParameters) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDupParameters) -> DataFrame:
-    """Stored sets of the ``wanted(node)``, one row each, made anew from one document of each."""
-    rows = nodes.join(wanted.distinct(), "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("at").alias("hashed"))
+    """Stored sets of the ``wanted(node)``, one row each, made anew from one document of each.
+
+    The names of these documents are stored first, so that Spark knows their
+    size: a table that is small is broadcast, and texts needn't be shuffled.
+    """
+    rows = nodes.select("node", "doc_id", "at").join(wanted.distinct(), "node", "left_semi")
+    rows = stored(rows.select(F.col("doc_id").alias("id"), F.col("at").alias("hashed")), "wanted")
     texts = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("id")) & (text_hash() == F.col("hashed")), "left_semi")
     sets = stored(full_sets(texts, p), "sets")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
@@ -234,7 +240,7 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 
 
 def cells(large: DataFrame, chunk: int) -> DataFrame:
-    """``key, node, root`` of cells in which all pairs of ``large(key, node, root, major, most, others)`` meet that are in different components.
+    """``key, node`` of cells in which all pairs of ``large(key, node, root, major, most, others)`` meet that are in different components.
 
     Members of a tree node's largest component needn't meet one another: they
     are dealt into chunks that only meet chunks of the other members.  Where
@@ -248,7 +254,7 @@ def cells(large: DataFrame, chunk: int) -> DataFrame:
     first = F.when((F.col("own") < others) & (others == 1), 1).otherwise(0)  # cells with a major chunk hold the only other one
     last = F.when(F.col("own") < others, others + majors - 1).otherwise(others - 1)
     met = dealt.withColumn("other", F.explode(F.sequence(first, last)))
-    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root")
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
 
 
 # -- comparison inside leaves -----------------------------------------------------------------
@@ -303,37 +309,42 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``u, v``: links, to be confirmed, that likely join each group of ``members(key, node, root, low)`` as far as it can be.
+    """``key, u, v``: links, to be confirmed, that likely join each group of ``members(key, node, root, low)`` as far as it can be.
 
     They are the edges of a maximum spanning forest that join different
-    components (``root``).  Similarity is estimated by the low bytes of the
-    signatures, less what agrees by chance.
+    components (``root``).  Every member that has a likely partner in another
+    component stands in a row without ``v`` as well.  Similarity is estimated by
+    the low bytes of the signatures, less what agrees by chance.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        us, vs = [], []
+        out: list[tuple] = []
         for group in _grouped(batches):
             if len(group) < 2:
                 continue
             estimate = _estimates(group["low"])
             codes = pd.factorize(group["root"])[0]
             same = codes[:, None] == codes[None, :]
-            if np.where(same, -1, estimate).max() < p.cut:
+            likely = ((estimate >= p.cut) & ~same).any(1)
+            if not likely.any():
                 continue
             estimate[same] = 2
             np.fill_diagonal(estimate, -1)
-            nodes = group["node"].to_numpy()
-            found = [(i, j) for i, j in _forest(estimate, p.cut) if codes[i] != codes[j]]
-            us += [max(nodes[i], nodes[j]) for i, j in found]
-            vs += [min(nodes[i], nodes[j]) for i, j in found]
-            if len(us) > 20_000:
-                yield pd.DataFrame({"u": us, "v": vs})
-                us, vs = [], []
-        if us:
-            yield pd.DataFrame({"u": us, "v": vs})
+            key, nodes = int(group["key"].iat[0]), group["node"].to_numpy()
+            out += [(key, max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in _forest(estimate, p.cut) if codes[i] != codes[j]]
+            out += [(key, n, None) for n in nodes[likely]]
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=["key", "u", "v"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["key", "u", "v"])
 
     sorted_groups = members.select("key", "node", "root", "low").repartition("key").sortWithinPartitions("key")
-    return sorted_groups.mapInPandas(run, "u binary, v binary").where("u <> v").distinct()
+    return sorted_groups.mapInPandas(run, "key long, u binary, v binary")
+
+
+def likely_links(found: DataFrame) -> DataFrame:
+    return found.where("v is not null and u <> v").select("u", "v").distinct()
 
 
 def _similar(one: np.ndarray, sets: list[np.ndarray], percent: int, cells: int = 1_000_000) -> np.ndarray:
@@ -392,9 +403,9 @@ def links_across(members: DataFrame, p: NearDupParameters) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFrame:
-    """The ``pairs(u, v)`` whose full sets reach the threshold, by array functions."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    """The ``pairs(u, v)`` whose full sets reach the threshold, by array functions; only sets in pairs move."""
+    left = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.join(pairs.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     joined = pairs.join(left, "u").join(right, "v").withColumn("both", both)
     return joined.where(100 * F.col("both") >= p.percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
@@ -426,9 +437,9 @@ def as_edges(root: DataFrame | None) -> list[DataFrame]:
     return [] if root is None else [root.select(F.col("node").alias("u"), F.col("root").alias("v"))]
 
 
-def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, list[DataFrame], DataFrame | None, DataFrame | None]:
-    """Grow all trees: leaves (``key, node``), cells of ended large tree nodes, components so far and sets fetched so far."""
-    low, leaves, ended = nodes.select("node", "low"), [], []
+def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Grow all trees: ``key, node`` of leaves and of cells of ended large tree nodes, components so far, and sets fetched so far."""
+    low, groups = nodes.select("node", "low"), []
     sets = root = None
     rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig", F.lit(1 << 62).alias("above"))
     for level in range(p.levels):
@@ -436,27 +447,37 @@ def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[Data
         counts = stored(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "tree-counts")
         shared = stored(keyed.join(counts, "key"), "tree-shared")
         forget(keyed)
-        leaves.append(shared.where(F.col("count") <= p.leaf).select("key", "node"))
+        groups.append(shared.where(F.col("count") <= p.leaf).select("key", "node"))
         if counts.where(F.col("count") > p.leaf).isEmpty():
             break
         large = shared.where(F.col("count") > p.leaf)
 
         # Link what meets in chunks, then look which tree nodes are one component.
-        if sets is None:
-            sets = sets_of(docs, nodes, large.select("node"), p)
         chunks = labelled_by(dealt_into(large, p.leaf), root)
-        pairs = stored(candidates(chunks.join(low, "node"), p), "pairs")
+        pairs = stored(likely_links(candidates(chunks.join(low, "node"), p)), "pairs")
+        sets = with_sets(docs, nodes, ends_of(pairs), sets, p)
         root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
         labelled = stored(labelled_by(large, root).select("key", "node", "root", "above"), "labelled")
         sizes = stored(component_sizes(labelled), "tree-sizes")
         going = (F.col("others") > p.few) & (F.col("others") < p.stuck * F.col("above")) & F.lit(level + 1 < p.levels)
         open_ = stored(labelled.drop("above").join(sizes, "key"), "tree-open")
-        ended.append(open_.where(~going))
+        groups.append(cells(open_.where(~going), p.few))
         if sizes.where(going).isEmpty():
             break
         going_on = open_.where(going).select("key", "node", F.col("others").alias("above"))
         rows = going_on.join(nodes.select("node", "sig"), "node")
-    return reduce(DataFrame.union, leaves), [cells(x, p.few) for x in ended], root, sets
+    return reduce(DataFrame.union, groups), root, sets
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+
+
+def with_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, sets: DataFrame | None, p: NearDupParameters) -> DataFrame:
+    """``sets`` and those of the ``wanted(node)`` that it lacks."""
+    if sets is None:
+        return sets_of(docs, nodes, wanted, p)
+    return sets.union(sets_of(docs, nodes, wanted.join(sets.select("node"), "node", "left_anti"), p))
 
 
 def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame]:
@@ -470,23 +491,17 @@ def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataF
     nodes = rows.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     nodes = stored(nodes.select("node", "first", "first.doc_id", "first.at", "sig", "low"), "nodes")
     low = nodes.select("node", "low")
-    leaves, large, root, sets = grown(docs, nodes, p)
+    groups, root, sets = grown(docs, nodes, p)
 
-    pairs = stored(candidates(labelled_by(leaves, root).join(low, "node"), p), "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
-    if sets is None:
-        sets = sets_of(docs, nodes, wanted, p)
-    else:
-        sets = sets.union(sets_of(docs, nodes, wanted.join(sets.select("node"), "node", "left_anti"), p))
-    root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
-
-    # What shares a leaf but not a component is compared exhaustively.  A node
-    # without a set has no likely partner in its leaves.
-    likely = stored(sets.select("node"), "likely")
-    open_leaves = [unsettled(leaves.join(likely, "node", "left_semi"), root)]
-    open_leaves += [unsettled(x.select("key", "node"), root) for x in large]
-    members = reduce(DataFrame.union, open_leaves)
-    more = stored(links_across(members.join(low, "node").join(sets, "node"), p), "links")
+    found = stored(candidates(labelled_by(groups, root).join(low, "node"), p), "candidates")
+    likely = found.where("v is null").select("key", F.col("u").alias("node"))
+    sets = with_sets(docs, nodes, likely.select("node"), sets, p)
+    root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(stored(likely_links(found), "pairs"), sets, p)]))
+
+    # What likely is near but in another component still is compared exhaustively.
+    members = stored(unsettled(likely, root), "members")
+    near = sets.join(members.select("node").distinct(), "node", "left_semi")
+    more = stored(links_across(members.join(low, "node").join(near, "node"), p), "links")
     if not more.isEmpty():
         root = roots_of(reduce(DataFrame.union, [*as_edges(root), more]))
 
