@@ -171,14 +171,20 @@ def full_sets(docs: DataFrame, p: NearDupParameters) -> DataFrame:
     return docs.select("text").mapInPandas(run, "node binary, shingles array<bigint>")
 
 
+#: Names of documents (two integers each) that are broadcast, 16 MB at most.
+NAMES_TO_BROADCAST = 500_000
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDupParameters) -> DataFrame:
     """Stored sets of the ``wanted(node)``, one row each, made anew from one document of each.
 
-    The names of these documents are stored first, so that Spark knows their
-    size: a table that is small is broadcast, and texts needn't be shuffled.
+    The names of these documents are stored and counted first: up to
+    ``NAMES_TO_BROADCAST`` are broadcast, and texts needn't be shuffled; more are
+    joined by a shuffle.
     """
     rows = nodes.select("node", "doc_id", "at").join(wanted.distinct(), "node", "left_semi")
     rows = stored(rows.select(F.col("doc_id").alias("id"), F.col("at").alias("hashed")), "wanted")
+    rows = F.broadcast(rows) if rows.count() <= NAMES_TO_BROADCAST else rows
     texts = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("id")) & (text_hash() == F.col("hashed")), "left_semi")
     sets = stored(full_sets(texts, p), "sets")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
@@ -453,9 +459,11 @@ def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[Data
         large = shared.where(F.col("count") > p.leaf)
 
         # Link what meets in chunks, then look which tree nodes are one component.
+        # Texts are read once for that; pairs without sets by then wait for the end.
         chunks = labelled_by(dealt_into(large, p.leaf), root)
         pairs = stored(likely_links(candidates(chunks.join(low, "node"), p)), "pairs")
-        sets = with_sets(docs, nodes, ends_of(pairs), sets, p)
+        if sets is None:
+            sets = sets_of(docs, nodes, ends_of(pairs), p)
         root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
         labelled = stored(labelled_by(large, root).select("key", "node", "root", "above"), "labelled")
         sizes = stored(component_sizes(labelled), "tree-sizes")
