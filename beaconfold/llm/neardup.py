@@ -319,7 +319,9 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
 
     They are the edges of a maximum spanning forest that join different
     components (``root``).  Every member that has a likely partner in another
-    component stands in a row without ``v`` as well.  Similarity is estimated by
+    component stands in a row without ``v`` as well, where ``key`` names the
+    members that likely are joined: trees that bring the same documents together
+    give the same rows.  Similarity is estimated by
     the low bytes of the signatures, less what agrees by chance.
     """
 
@@ -336,9 +338,12 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
                 continue
             estimate[same] = 2
             np.fill_diagonal(estimate, -1)
-            key, nodes = int(group["key"].iat[0]), group["node"].to_numpy()
-            out += [(key, max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in _forest(estimate, p.cut) if codes[i] != codes[j]]
-            out += [(key, n, None) for n in nodes[likely]]
+            nodes, forest = group["node"].to_numpy(), _forest(estimate, p.cut)
+            out += [(None, max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in forest if codes[i] != codes[j]]
+            for part in _parts(forest, likely):
+                own = sorted(nodes[part])
+                key = xxhash.xxh3_64_intdigest(b"".join(own))
+                out += [(key - (1 << 63), n, None) for n in own]
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["key", "u", "v"])
                 out = []
@@ -349,6 +354,23 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
     return sorted_groups.mapInPandas(run, "key long, u binary, v binary")
 
 
+def _parts(forest: list[tuple[int, int]], likely: np.ndarray) -> list[list[int]]:
+    """The members of ``likely``, parted by the trees of the forest."""
+    parent = list(range(len(likely)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in forest:
+        parent[find(i)] = find(j)
+    parts: dict[int, list[int]] = {}
+    for i in np.flatnonzero(likely):
+        parts.setdefault(find(int(i)), []).append(int(i))
+    return list(parts.values())
+
+
 def likely_links(found: DataFrame) -> DataFrame:
     return found.where("v is not null and u <> v").select("u", "v").distinct()
 
@@ -502,7 +524,7 @@ def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataF
     groups, root, sets = grown(docs, nodes, p)
 
     found = stored(candidates(labelled_by(groups, root).join(low, "node"), p), "candidates")
-    likely = found.where("v is null").select("key", F.col("u").alias("node"))
+    likely = stored(found.where("v is null").select("key", F.col("u").alias("node")).distinct(), "likely")
     sets = with_sets(docs, nodes, likely.select("node"), sets, p)
     root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(stored(likely_links(found), "pairs"), sets, p)]))
 
