@@ -174,6 +174,14 @@ def full_sets(docs: DataFrame, p: NearDupParameters) -> DataFrame:
 #: Names of documents (two integers each) that are broadcast, 16 MB at most.
 NAMES_TO_BROADCAST = 500_000
 
+#: Nodes (digests of 16 bytes) that are broadcast, 8 MB at most.
+NODES_TO_BROADCAST = 250_000
+
+
+def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows(node, ...)`` of the stored ``wanted(node)``; few of these are broadcast, so that other rows needn't be shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= NODES_TO_BROADCAST else wanted, "node", "left_semi")
+
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDupParameters) -> DataFrame:
     """Stored sets of the ``wanted(node)``, one row each, made anew from one document of each.
@@ -315,14 +323,15 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
-    """``key, u, v``: links, to be confirmed, that likely join each group of ``members(key, node, root, low)`` as far as it can be.
+    """``key, u, v``: links, to be confirmed, that likely join each group of ``members(key, node, root, low, n)`` as far as it can be.
 
     They are the edges of a maximum spanning forest that join different
     components (``root``).  Every member that has a likely partner in another
     component stands in a row without ``v`` as well, where ``key`` names the
     members that likely are joined: trees that bring the same documents together
     give the same rows.  Similarity is estimated by
-    the low bytes of the signatures, less what agrees by chance.
+    the low bytes of the signatures, less what agrees by chance; sets of ``n``
+    shingles whose sizes alone rule the threshold out count as unlike.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,6 +342,8 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
             estimate = _estimates(group["low"])
             codes = pd.factorize(group["root"])[0]
             same = codes[:, None] == codes[None, :]
+            n = group["n"].to_numpy(np.int64)
+            estimate[100 * np.minimum.outer(n, n) < p.percent * np.maximum.outer(n, n)] = 0
             likely = ((estimate >= p.cut) & ~same).any(1)
             if not likely.any():
                 continue
@@ -350,7 +361,7 @@ def candidates(members: DataFrame, p: NearDupParameters) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["key", "u", "v"])
 
-    sorted_groups = members.select("key", "node", "root", "low").repartition("key").sortWithinPartitions("key")
+    sorted_groups = members.select("key", "node", "root", "low", "n").repartition("key").sortWithinPartitions("key")
     return sorted_groups.mapInPandas(run, "key long, u binary, v binary")
 
 
@@ -431,9 +442,9 @@ def links_across(members: DataFrame, p: NearDupParameters) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFrame:
-    """The ``pairs(u, v)`` whose full sets reach the threshold, by array functions; only sets in pairs move."""
-    left = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.join(pairs.select(F.col("v").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    """The stored ``pairs(u, v)`` whose full sets reach the threshold, by array functions; only sets in pairs move."""
+    left = picked(sets, pairs.select(F.col("u").alias("node"))).select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = picked(sets, pairs.select(F.col("v").alias("node"))).select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     joined = pairs.join(left, "u").join(right, "v").withColumn("both", both)
     return joined.where(100 * F.col("both") >= p.percent * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
@@ -467,7 +478,7 @@ def as_edges(root: DataFrame | None) -> list[DataFrame]:
 
 def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Grow all trees: ``key, node`` of leaves and of cells of ended large tree nodes, components so far, and sets fetched so far."""
-    low, groups = nodes.select("node", "low"), []
+    low, groups = nodes.select("node", "low", "n"), []
     sets = root = None
     rows = nodes.select(F.lit(None).cast("long").alias("key"), "node", "sig", F.lit(1 << 62).alias("above"))
     for level in range(p.levels):
@@ -487,15 +498,18 @@ def grown(docs: DataFrame, nodes: DataFrame, p: NearDupParameters) -> tuple[Data
         if sets is None:
             sets = sets_of(docs, nodes, ends_of(pairs), p)
         root = roots_of(reduce(DataFrame.union, [*as_edges(root), confirmed(pairs, sets, p)]))
+        forget(pairs)
         labelled = stored(labelled_by(large, root).select("key", "node", "root", "above"), "labelled")
         sizes = stored(component_sizes(labelled), "tree-sizes")
         going = (F.col("others") > p.few) & (F.col("others") < p.stuck * F.col("above")) & F.lit(level + 1 < p.levels)
         open_ = stored(labelled.drop("above").join(sizes, "key"), "tree-open")
+        forget(labelled)
         groups.append(cells(open_.where(~going), p.few))
         if sizes.where(going).isEmpty():
             break
         going_on = open_.where(going).select("key", "node", F.col("others").alias("above"))
-        rows = going_on.join(nodes.select("node", "sig"), "node")
+        going_nodes = stored(going_on.select("node").distinct(), "tree-going")
+        rows = going_on.join(picked(nodes.select("node", "sig"), going_nodes), "node")
     return reduce(DataFrame.union, groups), root, sets
 
 
@@ -518,9 +532,9 @@ def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataF
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs, p), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    nodes = stored(nodes.select("node", "first", "first.doc_id", "first.at", "sig", "low"), "nodes")
-    low = nodes.select("node", "low")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("n_shingles").alias("n"))
+    nodes = stored(nodes.select("node", "first", "first.doc_id", "first.at", "sig", "low", "n"), "nodes")
+    low = nodes.select("node", "low", "n")
     groups, root, sets = grown(docs, nodes, p)
 
     found = stored(candidates(labelled_by(groups, root).join(low, "node"), p), "candidates")
@@ -530,7 +544,7 @@ def near_groups(docs: DataFrame, p: NearDupParameters) -> tuple[DataFrame, DataF
 
     # What likely is near but in another component still is compared exhaustively.
     members = stored(unsettled(likely, root), "members")
-    near = sets.join(members.select("node").distinct(), "node", "left_semi")
+    near = picked(sets, stored(members.select("node").distinct(), "near"))
     more = stored(links_across(members.join(low, "node").join(near, "node"), p), "links")
     if not more.isEmpty():
         root = roots_of(reduce(DataFrame.union, [*as_edges(root), more]))
