@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .tokens import vocabulary_path
+from .words_sql import words
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,52 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    relabelled = rows.select("vec_id", "embedding", label.alias("label"))
+    return mine_hard_negatives(relabelled, F.col("vec_id") % 100 == 0)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: for one id in ten the words from a place on repeat with a period, as the contract of op12 says."""
+    place, length = "(g % size(w))", "size(w)"
+    period = f"(1 + ({length} - {place}) div (3 + g % 8))"
+    edited = f"array_join(transform(sequence(0, {length} - 1), i -> get(w, cast(if(i < {place}, i, {place} + (i - {place}) % {period}) as int))), ' ')"
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.expr(words())).alias("w"))
+    return rows.select("doc_id", F.when(F.size("w") > 0, F.expr(edited)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = "array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))"
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    top = found.withColumn("top", F.expr(longest))
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(F.expr(listed), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import build_index, search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(build_index(rows), rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -118,9 +165,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_near_duplicates,
             op10_token_files,
+            op11_hard_negatives,
+            op12_periodic_runs,
+            op13_top_products,
         )
     }
 
 
+_VECTORS = """q AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+_TOP_PRODUCTS = f"""WITH {_VECTORS},
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+_HARD_NEGATIVES = f"""WITH {_VECTORS},
+ l AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q FROM q WHERE label IS NOT NULL),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM l a JOIN l b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+ CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": _HARD_NEGATIVES, "op13_top_products": _TOP_PRODUCTS}
