@@ -4,14 +4,16 @@ Everything here is DataFrame and SQL functions.
 
 A text's shingles are its runs of five lower-case words (all its words, if there
 are fewer).  The sketch keeps every shingle hash below a fixed fraction of the
-hash range, and the least hash, so that only texts without words have an empty
-sketch.  Sketches of parts merge into the sketch of the whole, and the share of
-the smaller sketch found in the larger one estimates containment, however
-unequal the texts are.  Two empty sketches are alike (1), an empty and another
-one aren't (0).  Null texts count as empty; equal texts have equal sketches.
-Repeated rows give a row each; rows of one id (null ids too) are ordered by
-text and stand in one range.  Other columns than ``doc_id`` and ``text`` are
-ignored.
+hash range, and apart from these the least hash of all, which stands for a short
+text that has no hash below.  Sketches merge: the hashes of a whole are the union
+of its parts', its least hash is the least of theirs (parts that overlap by all
+but one word of a shingle).  The share of the smaller sketch found in the larger
+one estimates containment, however unequal the texts are.  Two texts without
+words are alike (1), a text without words and another one aren't (0).  Null texts
+count as empty; equal texts have equal sketches.  Repeated rows give a row each;
+rows of one id (null ids too) are ordered by text and stand in one range, which
+spills where it is large.  Texts may be as long as a row may.  An empty table gives
+an empty one.  Other columns than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -24,33 +26,50 @@ from .words_sql import hashes, windows, words
 
 SHINGLE = 5
 SCALE = 8  #: one hash in so many is kept
+RANGE_BYTES = 32 << 20  #: text in a range of ids
+MOST_RANGES = 100_000  #: bounds of ranges that the driver and every task hold; ranges of more than 3 TB grow beyond RANGE_BYTES
 
 
 def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """``df`` with a sorted array column ``name``, the sketch of column ``text``."""
+    """``df`` with column ``name``, the sketch of column ``text``: its ``hashes`` below the threshold, sorted, and its ``least`` hash."""
     below = -(1 << 63) + (1 << 64) // scale
     h, s = f"{name}__h", f"{name}__s"
     all_of_it = f"if(size({h}) = 0, array(), array(xxhash64({h})))"
     return (
         df.withColumn(h, F.expr(hashes(words(f"lower({text})"))))
         .withColumn(s, F.expr(f"if(size({h}) < {shingle}, {all_of_it}, {windows(h, shingle)})"))
-        .withColumn(name, F.expr(f"sort_array(array_distinct(if(size({s}) = 0, {s}, array_append(filter({s}, x -> x < {below}L), array_min({s})))))"))
+        .withColumn(name, F.expr(f"struct(sort_array(array_distinct(filter({s}, x -> x < {below}L))) as hashes, array_min({s}) as least)"))
         .drop(h, s)
     )
 
 
+def merged(a: str, b: str) -> Column:
+    """The sketch of a whole from those of two parts; null where both are."""
+    return F.expr(
+        f"case when {a} is null then {b} when {b} is null then {a}"
+        f" else struct(sort_array(array_union({a}.hashes, {b}.hashes)) as hashes, least({a}.least, {b}.least) as least) end"
+    )
+
+
+def compared(sketch: str) -> str:
+    """The hashes by which a sketch is compared: those below the threshold, or the least one of a short text."""
+    return f"if(size({sketch}.hashes) > 0 or {sketch}.least is null, {sketch}.hashes, array({sketch}.least))"
+
+
 def as_text(sketch: str) -> Column:
-    """The fingerprint as text: its hashes in hexadecimal."""
-    return F.expr(f"array_join(transform({sketch}, x -> hex(x)), ' ')")
+    """The fingerprint as text: its hashes in hexadecimal, the least one of a short text after a ``~``."""
+    return F.expr(f"if(size({sketch}.hashes) = 0 and {sketch}.least is not null, concat('~', hex({sketch}.least)), array_join(transform({sketch}.hashes, x -> hex(x)), ' '))")
 
 
 def containment(a: str, b: str) -> Column:
     """Share of the smaller sketch that the larger one has."""
+    a, b = compared(a), compared(b)
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1.0D when size({a}) = 0 or size({b}) = 0 then 0.0D else cast(size(array_intersect({a}, {b})) as double) / least(size({a}), size({b})) end")
 
 
 def resemblance(a: str, b: str) -> Column:
     """Jaccard estimate of two sketches."""
+    a, b = compared(a), compared(b)
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1.0D else cast(size(array_intersect({a}, {b})) as double) / size(array_union({a}, {b})) end")
 
 
@@ -99,8 +118,10 @@ def fingerprint_neighbours(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     The edited text has its last half (rounded down) replaced by as many first
     code points of the next document in descending ``doc_id``.
     """
-    buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first().b or 0
+    # Ranges follow the data; for little of it, there is one for each task at least.
+    buckets = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES)))
     followed = with_next(with_sketch(texts, "text", "sketch", shingle, scale), "doc_id", ["text", "sketch"], buckets)
     edited = followed.withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.expr("concat(left(text, n_chars - n_chars div 2), left(next_text, cast(n_chars div 2 as int)))")

@@ -7,8 +7,9 @@ and lines that both have are deleted, except where markup says that they belong
 to the article: articles quote each other, and copies of an article would
 delete one another.  Differencing can't find what only one page has, so markup
 also deletes what never is main text (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, comments), and lines that stand in links as a
-whole, outside of an article, are menu items.
+notices, adverts, forms, scripts, comments).  A line that stands in links as a
+whole, outside of an article, is a menu item; a linked heading stays unless a
+neighbour has it, and so does a line with any text beside its links.
 
 A block's white space becomes single spaces and character references are
 decoded; blocks are joined by ``\n``.  Null and empty pages have no text.  A
@@ -49,6 +50,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that the start of one of these ends, if it is the innermost open block.
 _ENDED_BY = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -74,7 +76,7 @@ OUT, MAIN, OPEN = 0, 1, 2
 class Line:
     text: str
     region: int
-    linked: int  # characters inside links
+    menu: bool = False  # stands in links as a whole and is no heading
 
 
 @dataclass
@@ -117,20 +119,27 @@ def page_lines(html: str) -> list[Line]:
     """The text blocks of a page in order, each with its region."""
     lines: list[Line] = []
     stack: list[tuple[str, int]] = []  # open elements that matter, with the region around them
-    region, at, parts, linked, in_link = OPEN, 0, [], 0, 0
+    region, at, parts, in_link = OPEN, 0, [], 0
+    free = False  # whether the block has text outside of links
+
+    def add(piece: str) -> None:
+        nonlocal free
+        piece = unescape(piece)
+        parts.append(piece)
+        free = free or not in_link and not piece.isspace()
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, free
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                lines.append(Line(text, region, linked))
-        parts, linked = [], 0
+                heading = any(name in _HEADINGS for name, _ in stack)
+                lines.append(Line(text, region, not free and not heading))
+        parts, free = [], False
 
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            parts.append(html[at : m.start()])
-            linked += (m.start() - at) if in_link else 0
+            add(html[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
@@ -167,7 +176,7 @@ def page_lines(html: str) -> list[Line]:
             stack.append((name, region))
             region = inner
     if at < len(html):
-        parts.append(html[at:])
+        add(html[at:])
     flush()
     return lines
 
@@ -241,7 +250,7 @@ def main_text(page: Page, before: Page | None, after: Page | None) -> str:
                 if not common.issuperset(body):  # a copy of this page says nothing about its lines
                     shared = common
                     break
-    left = [x for i in body if (x := page.lines[i]).region == MAIN or i not in shared and x.linked < len(x.text)]
+    left = [x for i in body if (x := page.lines[i]).region == MAIN or i not in shared and not x.menu]
     return "\n".join(x.text for x in left)
 
 

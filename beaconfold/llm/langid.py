@@ -11,6 +11,9 @@ The model is fitted on at most ``per_language`` texts of each language, in the
 order of a hash of id and text, of which ``landmarks`` become landmarks; rows
 that repeat id and text count once.  The
 score is the softmax of the regressions' values, so it lies between 0 and 1.
+A text of a language that wasn't learnt has a highest score like any other, so
+rows are recognised by the unnormalised value instead: it has to reach the value
+that all but ``REJECTED`` of the learnt texts have in leave-one-out regression.
 Texts that are null or have no letter are ``und`` with score 0; ties between
 languages go to the first in alphabetical order.
 """
@@ -33,6 +36,7 @@ LANDMARKS = 96
 PER_LANGUAGE = 384
 BATCH = 128
 SHARPNESS = 6.0
+REJECTED = 0.005  #: share of the learnt texts whose value is too low to be recognised
 HASHES = 1 << 62  #: rows are sampled by a hash below this
 
 #: ASCII characters that aren't letters become spaces.
@@ -67,16 +71,21 @@ class LanguageModel:
     landmarks: np.ndarray  # buckets by landmarks, each column over the root of its number of n-grams
     regression: np.ndarray  # landmarks by languages
     bias: np.ndarray
+    least_value: float = -np.inf  #: what the highest value of a text of a learnt language reaches
 
     def values(self, x: np.ndarray) -> np.ndarray:
         kernel = (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
         return kernel @ self.regression + self.bias
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and score of each text."""
+    def text_values(self, texts: list[str]) -> np.ndarray:
         z = np.zeros((len(texts), len(self.languages)))
         for a in range(0, len(texts), BATCH):
             z[a : a + BATCH] = self.values(presence(texts[a : a + BATCH]))
+        return z
+
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the language and score of each text."""
+        z = self.text_values(texts)
         z = np.exp(SHARPNESS * (z - z.max(1, keepdims=True)))
         return z.argmax(1), (z / z.sum(1, keepdims=True)).max(1)
 
@@ -98,8 +107,15 @@ def fit_kernel_ridge(x: np.ndarray, language: list[str], landmarks: int = LANDMA
     weight *= len(label) / weight.sum()
     centre, target = (phi * weight).mean(0), (y * weight).mean(0)
     a, b = (phi - centre) * np.sqrt(weight), (y - target) * np.sqrt(weight)
-    w = np.linalg.solve(a.T @ a + ridge * len(label) / 100 * np.eye(a.shape[1]), a.T @ b)
-    return LanguageModel(names, marks, (root @ w).astype(np.float32), (target - centre @ w).astype(np.float32))
+    gram = a.T @ a + ridge * len(label) / 100 * np.eye(a.shape[1])
+    w = np.linalg.solve(gram, a.T @ b)
+    # Each text's value for its own language by the regression of all others; landmarks are left out, as their kernels hold themselves.
+    leverage = np.einsum("ij,ij->i", a, np.linalg.solve(gram, a.T).T) + weight[:, 0] / len(label)
+    others = np.setdiff1d(np.arange(len(label)), chosen)
+    fitted = (phi[others] - centre) @ w + target
+    spared = (y[others] - (y[others] - fitted) / np.maximum(1e-6, 1 - leverage[others, None]))[np.arange(len(others)), label[others]]
+    least = float(np.quantile(spared, REJECTED, method="lower")) if len(others) else -np.inf
+    return LanguageModel(names, marks, (root @ w).astype(np.float32), (target - centre @ w).astype(np.float32), least)
 
 
 def fit_language_model(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel | None:
@@ -161,20 +177,25 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return with_long_id(rows.mapInPandas(run, "doc_id string, lang_pred string, score double"))
 
 
-def recognised(docs: DataFrame, model: LanguageModel | None, least_score: float) -> DataFrame:
-    """The rows of ``docs`` whose text has a known language with at least ``least_score``; all columns stay."""
+def recognised(docs: DataFrame, model: LanguageModel | None, least_value: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a learnt language; all columns stay.
+
+    Its value has to reach ``least_value`` (the model's own, where none is
+    given).  Texts that are null or have no letter go, and all do without a model.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
+        least = -np.inf if m is None else m.least_value if least_value is None else least_value
         for texts in batches:
             keep = np.array([m is not None and has_letter(t) for t in texts], bool)
             at = np.flatnonzero(keep)
             some = [texts.iat[i] for i in at]
             for a, b in slices(some):
-                keep[at[a:b]] = m.predict(some[a:b])[1] >= least_score
+                keep[at[a:b]] = m.text_values(some[a:b]).max(1) >= least
             yield pd.Series(keep)
 
     return docs.where(known("text"))

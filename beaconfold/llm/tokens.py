@@ -189,7 +189,8 @@ class LibraryEncoder:
         """For each of the distinct ``chunks`` the number of its word, and of the stop after it (-1 if none)."""
         whole = np.zeros(len(chunks), bool)
         for special in self.specials:
-            whole |= pc.match_substring(chunks, special).to_numpy(zero_copy_only=False)
+            # In any case of letters: lower-cased, such a chunk would turn into the special token.
+            whole |= pc.match_substring(chunks, special, ignore_case=True).to_numpy(zero_copy_only=False)
         stopped = np.zeros(len(chunks), bool)
         if self.parts_stops:
             stopped = pc.match_substring_regex(chunks, _STOPPED).to_numpy(zero_copy_only=False) & ~whole

@@ -95,10 +95,21 @@ def test_language_on_held_out_documents(spark, docs, odd):
     rows = langid.predict_language(odd, model).toPandas()
     und = [r.lang_pred == "und" and r.score == 0 for r in rows.itertuples()]
     assert und == [True, True, True, False, False, False, False] and rows.score.between(0, 1).all()
-    kept = langid.recognised(odd, model, 0.0)
+    kept = langid.recognised(odd, model, -np.inf)
     assert kept.columns == odd.columns and kept.count() == 4
 
 
+@pytest.mark.parametrize("unknown", ["de", "es", "fr"])
+def test_texts_of_other_languages_are_not_recognised(spark, docs, unknown):
+    known = docs.where(F.col("lang") != unknown)
+    model = langid.fit_language_model(known, ~queries.held_out())
+    share = lambda df: langid.recognised(df, model).count() / df.count()
+    assert share(known.where(queries.held_out())) >= 0.97
+    assert share(docs.where(F.col("lang") == unknown)) <= 0.05
+    foreign = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "速い茶色の狐が怠け者の犬を飛び越える。", "Быстрая коричневая лиса прыгает", "qzx vbnk wprt zzkq jjxv " * 9]
+    assert langid.recognised(spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string"), model).count() == 0
+
+
 def test_language_sample_is_bounded_where_ids_and_rows_repeat(spark, docs, monkeypatch):
     seen = []
     monkeypatch.setattr(langid, "fit_kernel_ridge", lambda x, language, landmarks: seen.append((x, language)))

@@ -42,6 +42,19 @@ def test_chunks_give_the_library_ids(library):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_any_case(library):
+    """Marks in every case, alone, in a text, glued to letters and stops, give the library's ids."""
+    rnd, specials = random.Random(8), [t.content for t in library.get_added_tokens_decoder().values()]
+    cased = lambda t: "".join(rnd.choice([c.lower(), c.upper(), c]) for c in t)
+    texts = [f(s) for s in specials for f in (str, str.upper, str.lower, str.title, str.swapcase)]
+    for _ in range(1500):
+        parts = [rnd.choice([cased(rnd.choice(specials)), rnd.choice(specials), "word", "Word.", ",", "<|", "|>", "x", "É", "9"]) for _ in range(rnd.randint(1, 6))]
+        texts.append("".join(p + rnd.choice(["", " ", "\n", "."]) for p in parts))
+    ids, bounds = LibraryEncoder(vocabulary_path()).encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_merge_rules_are_exact(library):
     rules, rnd = bpe.MergeRules(vocabulary_path()), random.Random(2)
     words = [t or "" for t in TEXTS] + ["".join(rnd.choice("etaoinéñ字'9!&") for _ in range(rnd.randint(1, 120))) for _ in range(500)]
