@@ -20,14 +20,17 @@ from beaconfold.llm.quality import fit_quality, selected
 from beaconfold.llm.queries import graded_ratings, held_out
 from beaconfold.llm.tokens import vocabulary_path
 
-LEAST_SCORE = 0.3  #: language scores below this are no better than a guess
 LEAST_GRADE = 1  #: grades from here on count as good
 NEAR = NearDupParameters(shingle=5, percent=80)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model learns from the rows that aren't held out."""
-    return recognised(docs, fit_language_model(docs, ~held_out()), LEAST_SCORE)
+    """Documents in one of the learnt languages; the model learns from the rows that aren't held out.
+
+    Null and letterless texts go, and so do texts whose value is lower than that
+    of nearly all learnt ones, as are those of other languages.
+    """
+    return recognised(docs, fit_language_model(docs, ~held_out()))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
