@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_BITS
-
-IN_ORDER = ("ts", "event_id")
+from .scan import last_before, running_sum
 
 
 def matches(mask: Column, bits: Column) -> Column:
@@ -68,13 +67,12 @@ def counts_by_type(events: DataFrame) -> DataFrame:
 
 def running(events: DataFrame, condition: Column, name: str, *by: str) -> DataFrame:
     """A running count of ``condition`` in each device's order."""
-    w = Window.partitionBy(*by).orderBy(*IN_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(name, F.sum(F.when(condition, 1).otherwise(0)).over(w).cast("long"))
+    return running_sum(events, F.when(condition, 1).otherwise(0), name, by)
 
 
 def with_previous(events: DataFrame, column: str, name: str, *by: str) -> DataFrame:
-    return events.withColumn(name, F.lag(column).over(Window.partitionBy(*by).orderBy(*IN_ORDER)))
+    return last_before(events, F.struct(column), name, by).withColumn(name, F.col(name)[column])
 
 
 def with_following(events: DataFrame, column: str, name: str, *by: str) -> DataFrame:
-    return events.withColumn(name, F.lead(column).over(Window.partitionBy(*by).orderBy(*IN_ORDER)))
+    return last_before(events, F.struct(column), name, by, backwards=True).withColumn(name, F.col(name)[column])

@@ -5,9 +5,11 @@ Each avoids sending a hot key to one task where the operator allows it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import last_before, running_sum
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, carry: list[str]) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
@@ -19,8 +21,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, carry:
     both = left.withColumn("__r", F.lit(None).cast(right.select(values.alias("v")).schema["v"].dataType)).withColumn("__side", F.lit(1)).unionByName(
         right.select(*by, at, values.alias("__r")).withColumn("__side", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    filled = last_before(both, F.col("__r"), "__last", tuple(by), (at, "__side")).where("__side = 1")
     return filled.select(*left.columns, *(F.col("__last")[c].alias(f"asof_{c}") for c in carry))
 
 
@@ -34,8 +35,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
 
 def sessions(events: DataFrame, by: str, at: str, gap_us: int) -> DataFrame:
     """Events with the number of their session: a longer gap than ``gap_us`` starts a new one."""
-    w = Window.partitionBy(by).orderBy(at, "event_id")
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    starts = F.when(micros - F.lag(micros).over(w) <= gap_us, 0).otherwise(1)
-    numbered = events.withColumn("__start", starts)
-    return numbered.withColumn("session", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__start")
+    micros, order = F.unix_micros(F.col(at).cast("timestamp")), (at, "event_id")
+    known = last_before(events, F.struct(micros.alias("us")), "__before", (by,), order)
+    starts = F.when(micros - F.col("__before.us") <= gap_us, 0).otherwise(1)
+    return running_sum(known, starts, "session", (by,), order).drop("__before")

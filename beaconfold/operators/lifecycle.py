@@ -7,17 +7,19 @@ installed profile does nothing; deleting deactivates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import last_before
+
 INSTALL, ENABLE, DISABLE, DELETE = 1, 2, 4, 8
+KEY = ("device_id", "slot")
 
 
 def with_installed(events: DataFrame) -> DataFrame:
     """Whether the event's profile is installed just before the event."""
-    before = Window.partitionBy("device_id", "slot").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("type").isin(INSTALL, DELETE), F.col("type")), ignorenulls=True).over(before)
-    return events.withColumn("installed", F.coalesce(last == INSTALL, F.lit(False)))
+    turns = last_before(events, F.when(F.col("type").isin(INSTALL, DELETE), F.col("type")), "installed", KEY)
+    return turns.withColumn("installed", F.coalesce(F.col("installed") == INSTALL, F.lit(False)))
 
 
 def active_profiles(events: DataFrame) -> DataFrame:
@@ -39,21 +41,16 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 def timed_out(events: DataFrame, start: int, ends: list[int], limit_us: int) -> DataFrame:
     """Started operations with status 0, or -11 where no end follows within ``limit_us``."""
-    # The next end of an operation is the last one before it in descending order: a running value.
-    after = Window.partitionBy("device_id", "slot").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = events.withColumn("us", micros)
-    ended = F.last(F.when(F.col("type").isin(ends), F.col("us")), ignorenulls=True).over(after)
-    started = timed.withColumn("end_us", ended).where(F.col("type") == start)
+    timed = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ended = last_before(timed, F.when(F.col("type").isin(ends), F.col("us")), "end_us", KEY, backwards=True)
+    started = ended.where(F.col("type") == start)
     late = F.col("end_us").isNull() | (F.col("end_us") - F.col("us") > limit_us)
     return started.select("device_id", "slot", "event_id", (F.col("end_us") - F.col("us")).alias("took_us"), F.when(late, -11).otherwise(0).alias("status"))
 
 
 def completions(events: DataFrame, start: int, ends: list[int], limit_us: int) -> DataFrame:
     """Every end of an operation: ``counted`` if it is the first after a start and within ``limit_us``, else it is late or has no operation, and ignored."""
-    before = Window.partitionBy("device_id", "slot").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     timed = events.where(F.col("type").isin([start, *ends])).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    last = F.last(F.struct("type", "us")).over(before)
-    ended = timed.withColumn("prior", last).where(F.col("type").isin(ends))
+    ended = last_before(timed, F.struct("type", "us"), "prior", KEY).where(F.col("type").isin(ends))
     in_flight = F.coalesce(F.col("prior.type") == start, F.lit(False)) & F.coalesce(F.col("us") - F.col("prior.us") <= limit_us, F.lit(False))
     return ended.select("device_id", "slot", "event_id", in_flight.alias("counted"))

@@ -62,3 +62,23 @@ def needed_libraries(lines: DataFrame) -> DataFrame:
 
 def in_memory(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+def field_origin(variant: str, field: str, kind: str) -> Column:
+    """How a field of a VARIANT column comes by its value: ``given``, ``null``, ``missing``, ``other type``, or ``broken`` where there is no JSON at all."""
+    at = F.expr(f"try_variant_get({variant}, '$.{field}')")
+    fits = F.expr(f"schema_of_variant(try_variant_get({variant}, '$.{field}'))").isin(_KINDS[kind])
+    return (
+        F.when(F.col(variant).isNull(), "broken").when(at.isNull(), "missing").when(F.expr(f"is_variant_null(try_variant_get({variant}, '$.{field}'))"), "null")
+        .when(fits, "given").otherwise("other type")
+    )
+
+
+#: What ``schema_of_variant`` calls values that count as of a type; other types take the default, without a cast.
+_KINDS = {"int": ["BIGINT"], "string": ["STRING"], "boolean": ["BOOLEAN"], "double": ["DOUBLE", "BIGINT", "DECIMAL"]}
+
+
+def field_or_default(variant: str, field: str, kind: str, default) -> Column:
+    """A field of a VARIANT column as ``kind``, or ``default`` where it isn't given as such."""
+    value = F.expr(f"try_variant_get({variant}, '$.{field}', '{kind}')")
+    return F.coalesce(F.when(field_origin(variant, field, kind) == "given", value), F.lit(default))

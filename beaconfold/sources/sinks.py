@@ -29,6 +29,33 @@ def tcp_lines(host: str, port: int, column: str = "line", timeout: float = 5.0)
     return lambda df, _batch: df.select(column).foreachPartition(send)
 
 
+def recorded(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each batch to a folder of its own, ``batch=<id>`` under ``path``.
+
+    A batch that is run again replaces what it wrote before, so it adds no row.
+    """
+    return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def once(sink: Callable[[DataFrame, int], None], ledger: str) -> Callable[[DataFrame, int], None]:
+    """``sink`` behind a ledger: a batch that ended well isn't handed to it again.
+
+    The ledger is a shared folder with an empty file for each batch that is done.
+    A batch that failed on its way has none and runs anew, so a sink that can't
+    take rows back (a socket) gets them at least once, and one that replaces a
+    batch's rows (:func:`recorded`) has them exactly once.
+    """
+    from ..streaming.folders import exists, mark
+
+    def run(df: DataFrame, batch: int) -> None:
+        done = f"{ledger}/{batch}.done"
+        if not exists(df.sparkSession, done):
+            sink(df, batch)
+            mark(df.sparkSession, done)
+
+    return run
+
+
 def attach(lines: DataFrame, sink: Callable[[DataFrame, int], None] | None, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Start a stream of lines into ``sink``, or to the console if there is none; ``stop()`` of the result detaches it.
 

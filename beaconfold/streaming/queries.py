@@ -1,41 +1,44 @@
-"""Streaming counterparts: routing and the stateful lifecycle.
+"""Streaming counterparts: routing, the stateful lifecycle, operations in flight and counters.
 
-Streams read Parquet folders, run to the end of what is there
-(``availableNow``), and write to Parquet with a checkpoint, so a restart goes on
-where the last run stopped.
+Streams read the given tables where they lie, run to the end of what is there
+(``availableNow``), and write to Parquet with a checkpoint.  A caller that names
+the folder (``base``) goes on where its last run stopped.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.events import fanout_by_bits
 from ..operators.lifecycle import DELETE, DISABLE, ENABLE, INSTALL
 from ..sources.tables import normalized, subscriptions
-from .folders import shared_dir
+from . import metrics, operations
+from .folders import children, exists, remove, source_folder, stream_dir
 
+FAILED = 512
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, with timestamps that may carry watermarks."""
-    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))
-    return normalized(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
+def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """The events as a stream, with timestamps that may carry watermarks; the table is read where it lies."""
+    table = f"{sf_dir}/events.parquet"
+    folder, names = source_folder(spark, table)
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("pathGlobFilter", names)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return normalized(reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")))
 
-def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder that holds the events alone; stream sources read folders, and the table may be one file."""
-    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(folder)
-    return folder
 
+def drained(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """What ``stream`` has written once its source is read to the end.
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What ``stream`` writes until its source is read to the end."""
+    With a ``base`` folder of the caller's, a later call goes on where the last
+    one stopped and returns all that was written since the first.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = stream_dir(spark, base)
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -47,6 +50,52 @@ def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(routed.select("event_id", "sub_id"))
 
 
+DELAY, LIMIT_US = "1 hour", 86_400_000_000
+
+
+def stream_operations(spark: SparkSession, sf_dir: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Installs that ended, or timed out after a day, up to the watermark."""
+    with operations.keyed_state(spark):
+        return drained(operations.operations(event_stream(spark, sf_dir, files_per_batch), INSTALL, [ENABLE, FAILED], LIMIT_US, DELAY), base=base)
+
+
+def stream_ends(spark: SparkSession, sf_dir: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Ends of a stream that delivers every event twice."""
+    twice = event_stream(spark, sf_dir, files_per_batch).unionByName(event_stream(spark, sf_dir, files_per_batch))
+    return drained(operations.ends_once(twice, [ENABLE, FAILED], DELAY), base=base)
+
+
+def stream_subscriptions(spark: SparkSession, sf_dir: str, subs: DataFrame, horizon: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Deliveries to subscriptions that begin and end, both sides streams.  ``subs`` is a table of a few subscriptions."""
+    at = f"{stream_dir(spark, base)}/leases"
+    if not exists(spark, at):
+        operations.leases_of(subs, horizon).write.parquet(at)
+    leases = spark.readStream.schema("sub_id long, mask long, since timestamp, until timestamp").parquet(at)
+    return drained(operations.deliveries(event_stream(spark, sf_dir, files_per_batch), leases, "1 day", DELAY), base=base)
+
+
+def stream_counts(spark: SparkSession, sf_dir: str, called: Callable[[dict], None] | None = None, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Counters by event type that a running stream reports, without a pass of their own.
+
+    The stream writes its events; what a batch observes on the way is handed to
+    ``called`` and kept beside them, so a restart or a batch that is run again
+    counts nothing twice.  The sums in the end add a few rows for each batch.
+    """
+    base = stream_dir(spark, base)
+
+    def write(events: DataFrame, batch: int) -> None:
+        seen = Observation()
+        metrics.observed_types(events, seen).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        if called:
+            called(seen.get)
+        metrics.totals(spark, [seen.get]).coalesce(1).write.mode("overwrite").parquet(f"{base}/counts/batch={batch}")
+
+    events = event_stream(spark, sf_dir, files_per_batch).select("event_id", "type", "status")
+    events.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.schema(f"{metrics.COUNTS}, batch long").parquet(f"{base}/counts") if exists(spark, f"{base}/counts") else spark.createDataFrame([], metrics.COUNTS)
+    return counts.groupBy("type").agg(F.sum("n").alias("n"), F.sum("n_errors").alias("n_errors"))
+
+
 AT = "struct<batch:bigint,ts:timestamp,event_id:bigint>"
 STATE = f"device_id long, slot int, installed boolean, since {AT}, ended {AT}"
 
@@ -101,24 +150,30 @@ def active_slots(state: DataFrame) -> DataFrame:
     return last.where("x.ended is null or x.ended < x.since").where("x.slot >= 0").select("device_id", F.col("x.slot").alias("slot"))
 
 
-def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_lifecycle(spark: SparkSession, sf_dir: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """The active profile of each device at the end of the stream.
 
     Each batch merges its commands into the table of states that the batch
     before wrote; a batch that is run again writes the same table again.
     """
-    base, done = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
+    base = stream_dir(spark, base)
+
+    def kept() -> list[int]:
+        return sorted(int(n) for n in children(spark, f"{base}/state") if n.isdigit() and exists(spark, f"{base}/state/{n}/_SUCCESS"))
 
     def state(batch: int) -> DataFrame:
-        return spark.read.schema(STATE).parquet(f"{base}/state/{batch}") if batch >= 0 else spark.createDataFrame([], STATE)
+        held = [b for b in kept() if b <= batch]
+        return spark.read.schema(STATE).parquet(f"{base}/state/{held[-1]}") if held else spark.createDataFrame([], STATE)
 
     def fold(events: DataFrame, batch: int) -> None:
         merged(state(batch - 1), events, batch).write.mode("overwrite").parquet(f"{base}/state/{batch}")
-        done.append(batch)
+        for old in kept():  # a batch that is run again needs the one before it
+            if old < batch - 1:
+                remove(spark, f"{base}/state/{old}")
 
-    query = event_stream(spark, sf_dir).writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = event_stream(spark, sf_dir, files_per_batch).writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return active_slots(state(max(done, default=-1)))
+    return active_slots(state(max(kept(), default=-1)))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
