@@ -8,7 +8,10 @@ vocabulary id), least significant bit first, so that id ``i`` starts at bit
 ``before`` counts the ids of the part that precede the block.
 
 Empty and null texts are documents of the end id alone.  Rows that repeat an id
-stay apart, ordered by their text.  A null ``doc_id`` sorts first.
+stay apart, ordered by a hash of their text, and may lie in several parts.  A null
+``doc_id`` sorts first.  A task holds a slice of texts, or one text where it is
+longer.  An empty table has no blocks and gives no rows.  Only ``doc_id`` and
+``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -94,7 +97,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, block_i
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are dealt by their text's hash, equal ones by their place, so many of them spread over parts as well.
+    place = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    dealt = docs.select("doc_id", "text", F.struct(*(c.alias(f"c{i}") for i, c in enumerate(place))).alias("place"))
+    ordered = dealt.repartitionByRange("place").sortWithinPartitions("place").drop("place")
     return stored(with_text_id(ordered).mapInPandas(blocks, BLOCKS), "token-files")
 
 

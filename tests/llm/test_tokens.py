@@ -160,3 +160,19 @@ def test_queries_on_the_table(spark, library):
     assert all(r.ids_crc32 == crc([*docs[r.doc_id], 1][r.start : r.start + r.length]) for r in pieces)
     filled = sum(r.length for r in pieces) / (2048 * len({r.sequence_id for r in pieces}))
     assert filled > 0.97
+
+
+def test_rows_of_one_id_spread_over_parts(spark, library):
+    """Most rows have no id, half of these are equal; no part has them all, and all of them are there."""
+    rows = [(None, "one two" if i % 2 else f"text {i}") for i in range(3000)] + [(i, f"w{i}") for i in range(300)]
+    files = token_bin.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), vocabulary_path(), block_ids=64)
+    sizes = [r.n for r in files.selectExpr("part", "size(doc_ids) as n").groupBy("part").sum("n").toDF("part", "n").collect()]
+    assert len(sizes) >= 3 and max(sizes) < 0.6 * len(rows)
+    got = token_bin.read_token_files(files).collect()
+    sha = lambda k, ids: (str(k), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    want = sorted(sha(k, [*library.encode(t, add_special_tokens=False).ids, 2]) for k, t in rows)
+    assert sorted((str(r.doc_id), hashlib.sha256(r.ids).hexdigest()) for r in got) == want
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert [s for s, _ in starts] == [0, *np.cumsum([n for _, n in starts])[:-1].tolist()]
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == [None] * 3000 + list(range(300))
