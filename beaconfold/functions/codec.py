@@ -155,3 +155,51 @@ def kilobytes(size: Column) -> Column:
 def eid_hex(device: Column) -> Column:
     """A 32-digit chip identifier made of a prefix and the device."""
     return F.concat(F.lit("89049032"), F.lpad(F.hex(device.cast("long")), 24, "0"))
+
+
+def lower_hex(number: Column) -> Column:
+    """``0x`` and the lower-case hexadecimal digits of a whole number."""
+    return F.concat(F.lit("0x"), F.lower(F.hex(number.cast("long"))))
+
+
+def counted_iccid(number: Column) -> Column:
+    """A 20-digit identifier from a running number."""
+    return F.concat(F.lit("8901"), F.lpad(F.hex(number.cast("long")), 16, "0"))
+
+
+def required_status_code(name: Column) -> Column:
+    """Code of a status name; a name that there isn't ends the query with an error that says which.
+
+    A null name has a null code.
+    """
+    code = status_code(name)
+    return F.when(name.isNotNull() & code.isNull(), F.raise_error(F.concat(F.lit("unknown status name: "), name)).cast("int")).otherwise(code)
+
+
+# For each call whether its handle has to be there and ready, and the argument that has to be given.
+CALLS = [
+    ("init", None, "config"), ("deinit", "there", None), ("configure", "there", "config"), ("version", None, "out"), ("list", "ready", "count"),
+    ("download", "ready", "activation_code"), ("nickname", "ready", "nickname"), ("unsubscribe", "there", None), ("pump", "there", None), ("diagnostics", "there", "buffer"),
+]
+LEAST_BUFFER = 2
+
+
+def argument_status(call: Column, handle: Column, ready: Column, argument: Column, length: Column) -> Column:
+    """-1 where a call can't be made with its arguments, else 0.
+
+    ``handle``, ``ready`` and ``argument`` tell whether there is a handle, whether it was
+    initialised, and whether the call's argument is given; ``length`` is that of
+    the buffer of ``diagnostics``.  Calls without a name here are invalid.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = F.lit(False)
+    for name, needs, wanted in CALLS:
+        ok = F.lit(True)
+        if needs:
+            ok = yes(handle) & (yes(ready) if needs == "ready" else F.lit(True))
+        if wanted:
+            ok = ok & yes(argument)
+        if wanted == "buffer":
+            ok = ok & yes(length >= LEAST_BUFFER)
+        out = F.when(call == name, ok).otherwise(out)
+    return F.when(out, 0).otherwise(-1)

@@ -102,3 +102,9 @@ def bench(name: str, iterations: int, work, warm_up: int = 3) -> list[tuple[str,
         work()
         out.append((name, i, float((time.perf_counter_ns() - start) // 1000)))
     return out
+
+
+def size_totals(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """``rom, ram, total`` of ``by, name, value`` pairs of a size tool: code and constants, variables, and all; whole bytes, 0 for none."""
+    of = lambda *names: F.coalesce(F.sum(F.when(F.col("name").isin(*names), F.col("value"))), F.lit(0)).cast("long")
+    return sizes.groupBy(*by).agg(of("text", "data").alias("rom"), of("data", "bss").alias("ram"), of("text", "data", "bss").alias("total"))

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from beaconfold.plans import catalog, changes, reports  # noqa: F401
+from beaconfold.plans import catalog, changes, formats, reports  # noqa: F401
 
 from differential import assert_same, connect
 

@@ -50,3 +50,25 @@ def test_small_functions(spark):
 def test_log_line_cuts_milliseconds(spark):
     line = codec.log_line(F.lit("2024-01-02 03:04:05.678901").cast("timestamp"), F.lit(1), F.lit("core"), F.lit("x"), True)
     assert value(spark, line) == "[2024-01-02 03:04:05.678] [ERROR] [core] x"
+
+
+def test_an_unknown_status_name_ends_the_query(spark):
+    names = spark.createDataFrame([("OK",), ("TIMEOUT",), (None,)], "name string")
+    assert [r.code for r in names.select(codec.required_status_code(F.col("name")).alias("code")).collect()] == [0, -11, None]
+    with pytest.raises(Exception, match="unknown status name: NONE_SUCH"):
+        value(spark, codec.required_status_code(F.lit("NONE_SUCH")))
+
+
+def test_arguments_of_calls(spark):
+    yes, no = F.lit(True), F.lit(False)
+    status = lambda call, handle=yes, ready=yes, argument=yes, length=F.lit(99): value(spark, codec.argument_status(F.lit(call), handle, ready, argument, length))
+    assert [status(n) for n, _, _ in codec.CALLS] == [0] * len(codec.CALLS)
+    assert status("list", ready=no) == status("deinit", handle=F.lit(None).cast("boolean")) == status("init", argument=no) == status("none such") == -1
+    assert status("init", handle=no) == status("configure", ready=no) == status("pump", argument=no) == 0
+    assert status("diagnostics", length=F.lit(1)) == status("diagnostics", length=F.lit(None).cast("int")) == -1
+
+
+def test_further_forms(spark):
+    assert value(spark, codec.lower_hex(F.lit(48879))) == "0xbeef"
+    assert value(spark, codec.counted_iccid(F.lit(255))) == "890100000000000000FF"
+    assert value(spark, codec.kilobytes(F.lit(2047))) == 1
