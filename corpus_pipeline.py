@@ -5,6 +5,12 @@ effect: documents without a recognised language go, then those that the quality
 classifier rejects, then all but one document of each near-duplicate group; what
 is left is packed into sequences.  All stages but the last return the columns of
 ``documents``.
+
+Null, empty and letterless texts go in the first stage.  Repeated rows are near
+duplicates of each other, so one stays; of rows that tie, that with the least id.
+Rows without an id take part like others.  Very long texts are handled in slices.
+Extra columns pass through all stages but the last, whatever their names are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
