@@ -41,3 +41,25 @@ def test_run_packs_everything(spark, outputs):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in outputs[2][1].collect()}
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in outputs[3][1].collect())
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls, letterless and very long texts, repeated rows, rows without an id and clashing columns pass through; nothing comes of an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi").where("length(text) > 300").orderBy("doc_id").first()
+    odd = [(-1, None), (-2, ""), (-3, "12 34 !"), (None, clean.text), (-4, clean.text), (-4, clean.text), (-5, (clean.text + " ") * 200)]
+    extra = spark.createDataFrame(odd, "doc_id long, text string")
+    rows = docs.unionByName(extra, allowMissingColumns=True)
+    for c in ("start", "length", "ids", "node", "score", "key", "at"):
+        rows = rows.selectExpr("*", f"'x' as {c}")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got if r.start == 0]
+    assert not {-1, -2, -3} & set(ids)
+    # The text over and over has the shingles of the text, so all of these are one group.
+    assert [k for k in ids if k in (clean.doc_id, None, -4, -5)] in ([-5], [-4])
+    (tmp_path / "none").mkdir()
+    rows.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
