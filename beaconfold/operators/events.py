@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import log_line
 from ..schema import EVENT_BITS
 from .scan import last_before, running_sum
 
@@ -52,6 +53,20 @@ def classified_downloads(rows: DataFrame, progress: str = "progress_pct", state:
     )
 
 
+#: Fixed value: what is logged with a consent.
+CONSENT_MESSAGE = "User consent required — auto-providing consent"
+
+
+def consents(prompts: DataFrame) -> DataFrame:
+    """A granted consent for each prompt that requires one, with the line that is logged.
+
+    Prompts with a false or null ``consent_required`` get no row.  There is no
+    state, so batches and streams alike may pass through.
+    """
+    line = log_line(F.col("ts"), F.lit(3), F.lit("listener"), F.lit(CONSENT_MESSAGE), False)
+    return prompts.where("consent_required").select("device_id", "slot", "event_id", F.lit(True).alias("granted"), line.alias("line"))
+
+
 def shown_text(bits: Column, progress: Column, detail: Column) -> Column:
     """The line shown for an event."""
     out = F.when(bits == 256, F.format_string("Download %d%%", progress)).when(bits == 512, F.concat(F.lit("Error: "), detail))

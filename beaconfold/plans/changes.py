@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import protocol, temporal
+from ..operators.events import CONSENT_MESSAGE
 from ..sources.tables import device_events, registry, table
 from .catalog import E, R, event_counts, profile_lookup, query  # noqa: F401
 from .reports import _CHANGING, D, events_with_deletes
@@ -35,6 +36,14 @@ def stream_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
+@query(f"WITH {E} SELECT device_id, slot, event_id, true AS granted, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [INFO ] [listener] {CONSENT_MESSAGE}' AS line FROM e WHERE type = 1 AND k % 2 = 1")
+def stream_consents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consents to the prompts that require one, each once, from a stream that delivers every prompt twice."""
+    from ..streaming.queries import stream_consents as run
+
+    return run(spark, sf_dir)
+
+
 @query(
     f"WITH {E}, s(sub_id, mask, since, until) AS (VALUES "
     + ", ".join(f"(CAST({i} AS BIGINT), CAST({m} AS BIGINT), TIMESTAMP '{a}', TIMESTAMP '{b or '2024-03-01'}')" for i, m, a, b in _CHANGING)

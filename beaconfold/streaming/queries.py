@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.events import fanout_by_bits
+from ..operators.events import consents, fanout_by_bits
 from ..operators.lifecycle import DELETE, DISABLE, ENABLE, INSTALL
 from ..sources.tables import normalized, subscriptions
 from . import metrics, operations
@@ -65,6 +65,16 @@ def stream_ends(spark: SparkSession, sf_dir: str, base: str | None = None, files
     return drained(operations.ends_once(twice, [ENABLE, FAILED], DELAY), base=base)
 
 
+def stream_consents(spark: SparkSession, sf_dir: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Consents of a stream that delivers every prompt twice; each is answered once, also after a restart.
+
+    Installs with an odd ``k`` stand for prompts that require consent.
+    """
+    twice = event_stream(spark, sf_dir, files_per_batch).unionByName(event_stream(spark, sf_dir, files_per_batch))
+    prompts = twice.where(F.col("type") == INSTALL).withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
+    return drained(consents(prompts.withColumn("consent_required", F.col("k") % 2 == 1)), base=base)
+
+
 def stream_subscriptions(spark: SparkSession, sf_dir: str, subs: DataFrame, horizon: str, base: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Deliveries to subscriptions that begin and end, both sides streams.  ``subs`` is a table of a few subscriptions."""
     at = f"{stream_dir(spark, base)}/leases"

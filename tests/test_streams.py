@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from beaconfold.operators.events import consents
 from beaconfold.plans import changes
 from beaconfold.plans.catalog import ORACLE
 from beaconfold.sources import sinks
@@ -48,6 +49,7 @@ def later(spark, folder):
 STREAMS = {
     "stream_operations": lambda s, d, b: queries.stream_operations(s, d, base=b, files_per_batch=1),
     "stream_ends": lambda s, d, b: queries.stream_ends(s, d, base=b, files_per_batch=1),
+    "stream_consents": lambda s, d, b: queries.stream_consents(s, d, base=b, files_per_batch=1),
     "stream_counts": lambda s, d, b: queries.stream_counts(s, d, base=b, files_per_batch=1),
     "stream_lifecycle": lambda s, d, b: queries.stream_lifecycle(s, d, base=b, files_per_batch=1),
 }
@@ -130,6 +132,14 @@ def test_late_and_repeated_ends_go(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 5]
 
 
+def test_only_prompts_that_require_consent_get_one(spark):
+    rows = [(1, 0, 10, True), (1, 1, 11, False), (2, 0, 12, None), (None, None, 13, True)]
+    prompts = spark.createDataFrame(rows, "device_id long, slot int, event_id long, consent_required boolean").withColumn("ts", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    got = sorted(consents(prompts).collect(), key=lambda r: r.event_id)
+    assert [(r.device_id, r.event_id, r.granted) for r in got] == [(1, 10, True), (None, 13, True)]
+    assert got[0].line == "[2024-01-02 03:04:05] [INFO ] [listener] User consent required — auto-providing consent"
+
+
 def test_stream_of_subscriptions_equals_the_batch_query(spark):
     got = sorted(map(tuple, changes.stream_subscriptions(spark, SF).select("event_id", "sub_id").collect()))
     assert got and got == sorted(map(tuple, entry.queries()["changing_subscriptions"](spark, SF).select("event_id", "sub_id").collect()))
