@@ -65,6 +65,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, gram_ratios(docs, trusted))
 
 
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: the base measures and the verdict on them."""
+    from .llr_rules import MEASURES, base_measures, with_hashes
+
+    return base_measures(with_hashes(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", *MEASURES, "base_failed")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express: lengths and edited texts."""
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_neighbours
 
@@ -168,6 +180,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op11_hard_negatives,
             op12_periodic_runs,
             op13_top_products,
+            text_measures,
+            edited_texts,
         )
     }
 
@@ -190,5 +204,40 @@ _HARD_NEGATIVES = f"""WITH {_VECTORS},
  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM w),
+ x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+ e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+ GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))),
+ c AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT c.doc_id, e.v FROM c JOIN e ON e.u = c.r),
+ m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
+ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)"""
+
+_TEXT_MEASURES = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ g AS (SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(list_slice(w, i + 1, i + 8), ' '))) AS g FROM w WHERE len(w) > 7),
+ d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+ p AS (SELECT DISTINCT doc_id, i + k AS at FROM d, range(8) r(k) WHERE n > 1),
+ r AS (SELECT doc_id, count(*) AS repeated FROM p GROUP BY doc_id),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+ n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m"""
+
+_EDITED_TEXTS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS other FROM d WINDOW w AS (ORDER BY doc_id DESC))
+ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 2) || left(other, n // 2)) AS edited_sha256 FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_hard_negatives": _HARD_NEGATIVES, "op13_top_products": _TOP_PRODUCTS}
+    return {
+        "op9_near_duplicates": _NEAR_DUPLICATES,
+        "op11_hard_negatives": _HARD_NEGATIVES,
+        "op13_top_products": _TOP_PRODUCTS,
+        "text_measures": _TEXT_MEASURES,
+        "edited_texts": _EDITED_TEXTS,
+    }
