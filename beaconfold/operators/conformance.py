@@ -6,6 +6,10 @@ lifecycle; every expected field is compared, not only the status.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +101,19 @@ def conformance(vectors: DataFrame) -> DataFrame:
         .withColumn("checks", checks)
         .select("id", "group", "expected_status", "actual", F.concat_ws(",", failed).alias("failed"), (F.size(failed) == 0).alias("passed"))
     )
+
+
+def differences(expected: DataFrame, actual: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """``key, failed, passed`` for every row of either side, compared by one shuffled full join.
+
+    ``failed`` names the fields whose values differ (two nulls are equal), in
+    their order, or is ``missing`` or ``unexpected`` where a row has no partner.
+    Keys are unique on each side; a null in a key equals a null.
+    """
+    e = expected.select(*(F.col(k).alias(f"__e_{k}") for k in key), F.struct(*fields).alias("__e"))
+    a = actual.select(*(F.col(k).alias(f"__a_{k}") for k in key), F.struct(*fields).alias("__a"))
+    on = reduce(and_, (F.col(f"__e_{k}").eqNullSafe(F.col(f"__a_{k}")) for k in key))
+    differs = [F.when(~F.col(f"__e.{f}").eqNullSafe(F.col(f"__a.{f}")), F.lit(f)) for f in fields]
+    failed = F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "unexpected").otherwise(F.concat_ws(",", *differs))
+    keys = [F.when(F.col("__e").isNull(), F.col(f"__a_{k}")).otherwise(F.col(f"__e_{k}")).alias(k) for k in key]
+    return e.join(a, on, "full").select(*keys, failed.alias("failed"), (failed == "").alias("passed"))

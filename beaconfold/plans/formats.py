@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import kpi, registry as reg
+from ..operators.conformance import differences
 from ..schema import BAUD_RATES, STATUS
 from ..sources import files
 from ..sources.tables import device_events, table
@@ -118,3 +119,24 @@ def requirement_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = kpi.cross_references(suites)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("suite", "test"))), lambda x: F.concat(x["suite"], F.lit("/"), x["test"]))
     return flat.groupBy("req_id").agg(F.count("*").alias("n_tests"), F.array_join(listed, ",").alias("tests"))
+
+
+_FIELDS = "count_if(type = 1) AS installs, coalesce(bool_or(type = 512), FALSE) AS failures, max(status) AS worst"
+
+
+@query(
+    f"""WITH {E}, a AS (SELECT device_id, slot, {_FIELDS} FROM e WHERE ts < TIMESTAMP '2024-01-10' GROUP BY ALL), b AS (SELECT device_id, slot, {_FIELDS} FROM e WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL),
+ j AS (SELECT device_id, slot, CASE WHEN b.installs IS NULL THEN 'missing' WHEN a.installs IS NULL THEN 'unexpected' ELSE concat_ws(',', CASE WHEN a.installs IS DISTINCT FROM b.installs THEN 'installs' END,
+ CASE WHEN a.failures IS DISTINCT FROM b.failures THEN 'failures' END, CASE WHEN a.worst IS DISTINCT FROM b.worst THEN 'worst' END) END AS failed FROM a FULL JOIN b USING (device_id, slot))
+ SELECT device_id, slot, failed, failed = '' AS passed FROM j"""
+)
+def profile_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each profile's later conduct against what its earlier conduct lets one expect, field by field."""
+    events, early = device_events(spark, sf_dir), F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+    fields = [
+        F.count_if(F.col("type") == 1).alias("installs"),
+        F.coalesce(F.bool_or(F.col("type") == 512), F.lit(False)).alias("failures"),
+        F.max("status").alias("worst"),
+    ]
+    before, after = (events.where(w).groupBy("device_id", "slot").agg(*fields) for w in (early, ~early))
+    return differences(before, after, ["device_id", "slot"], ["installs", "failures", "worst"])

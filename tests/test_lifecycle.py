@@ -95,3 +95,14 @@ def test_upsert_and_nickname(spark):
 def test_bench_counts_no_warm_up():
     calls = []
     assert len(kpi.bench("x", 5, lambda: calls.append(1))) == 5 and len(calls) == 8
+
+
+def test_differences_of_expected_and_actual(spark):
+    from beaconfold.operators.conformance import differences
+
+    schema = "id long, a int, b string"
+    expected = spark.createDataFrame([(1, 1, "x"), (2, None, None), (3, 1, "x"), (4, 1, "x"), (None, 1, "y")], schema)
+    actual = spark.createDataFrame([(1, 1, "x"), (2, None, None), (3, 2, None), (5, 1, "x"), (None, 2, "y")], schema)
+    got = {r.id: (r.failed, r.passed) for r in differences(expected, actual, ["id"], ["a", "b"]).collect()}
+    assert got == {1: ("", True), 2: ("", True), 3: ("a,b", False), 4: ("missing", False), 5: ("unexpected", False), None: ("a", False)}
+    assert differences(expected.where("false"), actual.where("false"), ["id"], ["a"]).count() == 0
