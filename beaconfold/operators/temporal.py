@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lifecycle import DELETE, INSTALL
-from .scan import last_before
+from .scan import IN_ORDER, last_before
 
 KEY = ("device_id", "slot")
 
@@ -46,9 +46,10 @@ def installed_when(events: DataFrame, commands: DataFrame) -> DataFrame:
     """``events`` with ``installed_at``, whether their profile was in the registry just before them; a temporal join by one scan.
 
     Events and commands are laid into one order by time and id, so no key's
-    events meet all of its intervals.
+    events meet all of its intervals.  An event that is a command itself stands
+    before that command, so it doesn't see its own effect.
     """
     turns = commands.where(F.col("type").isin(INSTALL, DELETE)).select(*KEY, "ts", "event_id", F.col("type").alias("turn"))
-    both = events.withColumn("turn", F.lit(None).cast("long")).withColumn("__asks", F.lit(True)).unionByName(turns.withColumn("__asks", F.lit(False)), allowMissingColumns=True)
-    seen = last_before(both, F.col("turn"), "before", KEY)
-    return seen.where("__asks").withColumn("installed_at", F.coalesce(F.col("before") == INSTALL, F.lit(False))).drop("turn", "before", "__asks")
+    both = events.withColumn("turn", F.lit(None).cast("long")).withColumn("__commands", F.lit(False)).unionByName(turns.withColumn("__commands", F.lit(True)), allowMissingColumns=True)
+    seen = last_before(both, F.col("turn"), "before", KEY, (*IN_ORDER, "__commands"))
+    return seen.where("NOT __commands").withColumn("installed_at", F.coalesce(F.col("before") == INSTALL, F.lit(False))).drop("turn", "before", "__commands")

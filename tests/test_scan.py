@@ -129,3 +129,22 @@ def test_bucketed_lookups_join_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert sorted(map(str, df.collect())) and df.count() == entry.queries()["event_bits"](spark, SF).count()
+
+
+@pytest.mark.parametrize("segment_rows", [None, 60])
+def test_a_command_does_not_see_itself_however_rows_arrive(spark, monkeypatch, segment_rows):
+    """On a cluster a shuffle hands over blocks in any order, so a command may arrive before the event that it is."""
+    rows = sorted(hot_events(spark, 600, 9).collect(), key=lambda r: (r.ts, r.event_id))
+    want, held = {}, set()
+    for r in rows:
+        key = (r.device_id, r.slot)
+        want[r.event_id] = key in held
+        if r.type in (1, 8):
+            (held.add if r.type == 1 else held.discard)(key)
+    events = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    if segment_rows:
+        monkeypatch.setattr(scan, "SEGMENT_ROWS", segment_rows)
+    for first in (F.col("turn").isNull(), F.col("turn").isNotNull()):
+        monkeypatch.setattr(temporal, "last_before", lambda rows, *a, **k: scan.last_before(rows.coalesce(1).sortWithinPartitions(first), *a, **k))
+        got = temporal.installed_when(events.select("event_id", "device_id", "slot", "ts"), events)
+        assert {r.event_id: r.installed_at for r in got.collect()} == want
