@@ -148,3 +148,56 @@ def test_a_command_does_not_see_itself_however_rows_arrive(spark, monkeypatch, s
         monkeypatch.setattr(temporal, "last_before", lambda rows, *a, **k: scan.last_before(rows.coalesce(1).sortWithinPartitions(first), *a, **k))
         got = temporal.installed_when(events.select("event_id", "device_id", "slot", "ts"), events)
         assert {r.event_id: r.installed_at for r in got.collect()} == want
+
+
+def interval_sides(spark, n, spread=300):
+    """Points and intervals with nulls, bounds that meet points, empty and reversed intervals, keys with several."""
+    rnd = random.Random(n)
+    points = [(i, rnd.choice([None, -100, 0, 100, *(rnd.randint(-spread, spread) for _ in range(9))])) for i in range(n)]
+    bands = []
+    for i in range(n // 2):
+        low = rnd.choice([None, -100, 0, 100, *(rnd.randint(-spread, spread) for _ in range(9))])
+        bands.append((rnd.choice([None, i, i // 3]), low, None if low is None else low + rnd.choice([-250, 0, 1, 100, 100, 170, 420])))
+    return spark.createDataFrame(points, "id long, x long").repartition(3), spark.createDataFrame(bands, "key long, lo long, hi long").repartition(3)
+
+
+@pytest.mark.parametrize("segment_rows", [None, 50])
+def test_counts_of_intervals_equal_their_pairs(spark, monkeypatch, segment_rows):
+    points, bands = interval_sides(spark, 400)
+    if segment_rows:
+        monkeypatch.setattr(scan, "SEGMENT_ROWS", segment_rows)
+    got = {r.key: r.n for r in extensions.interval_counts(points, bands, "x", "lo", "hi", 100, ["key"]).collect()}
+    want = {}
+    for b in bands.collect():
+        if n := sum(b.lo <= p.x < b.hi for p in points.collect() if p.x is not None and b.lo is not None):
+            want[b.key] = want.get(b.key, 0) + n
+    assert got == want and None in got
+    pairs = extensions.interval_join(points, bands, "x", "lo", "hi", 100).groupBy("key").count()
+    assert {r.key: r["count"] for r in pairs.collect()} == want
+
+
+def test_counting_bands_forms_no_pairs(spark, tmp_path):
+    """With each side ten times as large no operator of the query makes rows with the product of both."""
+
+    def most_rows(n):
+        at = tmp_path / str(n)
+        at.mkdir()
+        tables = {"supplier": spark.range(n).selectExpr("id AS s_suppkey", "CAST(id % 50 AS double) AS s_acctbal"), "customer": spark.range(n).selectExpr("id AS c_custkey", "CAST(id % 50 AS double) AS c_acctbal")}
+        for name, rows in tables.items():
+            rows.write.parquet(f"{at}/{name}.parquet")
+        df = entry.queries()["ext_interval_join"](spark, str(at))
+        assert {r.s_suppkey: r.n for r in df.collect()} == {i: n // 50 * (50 - i % 50) for i in range(n)}
+        todo, most = [df._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+                todo.append(node.plan())
+            if (rows := node.metrics().get("numOutputRows")).isDefined():
+                most = max(most, rows.get().value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+
+    small, large = most_rows(100), most_rows(1000)
+    assert 0 < small and large <= 10 * small
