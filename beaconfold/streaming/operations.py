@@ -1,14 +1,17 @@
 """Operations of devices in a stream: in flight, ended, timed out; repeated and late ends; changing subscriptions.
 
 An operation starts with an install and ends with the first enable or error of
-its slot within a limit.  Each device has keyed state (``transformWithState`` over
-a state store): events that wait until the watermark has passed them, so that
-they count in the order of time whatever their arrival is, and the operations
-in flight.  Event-time timers wake a device when the watermark passes its next
-event or the deadline of an operation, so a timeout needs no later event of the
-device.  State is dropped with the operation; a device holds the events of the
-watermark's delay and of a batch, and ``maxFilesPerTrigger`` bounds a batch.
-Events behind the watermark are dropped, as in all operators here.
+its slot within a limit.  Devices are dealt to shards by their hash, and each
+shard has keyed state (``transformWithState`` over a state store): events that
+wait until the watermark has passed them, so that they count in the order of
+time whatever their arrival is, and the operations in flight.  Event-time timers
+wake a shard when the watermark passes its next event or the deadline of an
+operation, so a timeout needs no later event of the device.  A call for each
+device would cost more than its events do, so a call serves a shard.  State is
+dropped with the operation; a shard holds the events of the watermark's delay
+and of a batch and its operations in flight, and writes them anew when it wakes;
+``maxFilesPerTrigger`` bounds a batch.  Events behind the watermark are dropped,
+as in all operators here.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = "device_id long, slot int, event_id long, took_us long, status int"
 OK, TIMEOUT = 0, -11
+SHARDS = 1024  #: groups of devices with a state of their own; a checkpoint holds for one number
+ROWS = ["device_id", "us", "event_id", "slot", "type"]
 
 
 @contextmanager
@@ -39,68 +45,79 @@ def keyed_state(spark: SparkSession):
 
 
 def settled(waiting: list[tuple], in_flight: list[tuple], now_us: int, start: int, limit_us: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """What a device's events up to ``now_us`` lead to: results, events that still wait, operations that stay in flight.
+    """What events up to ``now_us`` lead to: results, events that still wait, operations that stay in flight.
 
     ``waiting`` are (us, event_id, slot, type), ``in_flight`` (us, event_id, slot);
-    results are (slot, event_id, took_us, status).
+    results are (slot, event_id, took_us, status).  A slot is any key of one
+    device's slot.
     """
-    out, rest = [], [x for x in waiting if x[0] > now_us]
+    out, rest, flying = [], [x for x in waiting if x[0] > now_us], {}
+    for us, event_id, slot in in_flight:
+        flying.setdefault(slot, []).append((us, event_id))
     for us, event_id, slot, kind in sorted(x for x in waiting if x[0] <= now_us):
         if kind == start:
-            in_flight = [*in_flight, (us, event_id, slot)]
+            flying.setdefault(slot, []).append((us, event_id))
             continue
-        for began, operation, _ in (x for x in in_flight if x[2] == slot):
+        for began, operation in flying.pop(slot, ()):
             late = us - began > limit_us
             out.append((slot, operation, None if late else us - began, TIMEOUT if late else OK))
-        in_flight = [x for x in in_flight if x[2] != slot]
-    overdue = [x for x in in_flight if x[0] + limit_us < now_us]
-    out += [(slot, operation, None, TIMEOUT) for _, operation, slot in overdue]
-    return out, rest, [x for x in in_flight if x[0] + limit_us >= now_us]
+    left = [(us, event_id, slot) for slot, begun in flying.items() for us, event_id in begun]
+    out += [(slot, operation, None, TIMEOUT) for us, operation, slot in left if us + limit_us < now_us]
+    return out, rest, [x for x in left if x[0] + limit_us >= now_us]
 
 
 class Operations(StatefulProcessor):
-    """Ends and timeouts of each device's operations."""
+    """Ends and timeouts of the operations of a shard's devices.
+
+    State is a list of blocks of ``ROWS`` as 64-bit integers: events that wait,
+    and starts in flight, which have waited.
+    """
 
     def __init__(self, start: int, limit_us: int):
         self.start, self.limit_us = start, limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, slot int, type long")
-        self.in_flight = handle.getListState("in_flight", "us long, event_id long, slot int")
+        self.held = handle.getListState("held", "rows binary, in_flight boolean")
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(map(int, r)) for pdf in rows for r in pdf[["us", "event_id", "slot", "type"]].itertuples(index=False, name=None)]
+        new = [pdf[ROWS].to_numpy("int64") for pdf in rows if len(pdf)]
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(new)[0])
+            self.held.appendList([(x.tobytes(), False) for x in new])
+            self._wake(min(int(x[:, 1].min()) for x in new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        before = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        flying = [tuple(x) for x in self.in_flight.get()] if self.in_flight.exists() else []
-        out, rest, flying = settled(before, flying, now, self.start, self.limit_us)
-        for state, values in ((self.waiting, rest), (self.in_flight, flying)):
-            state.clear()
-            if values:
-                state.put(values)
+        waiting, flying = [], []
+        for block, begun in self.held.get():
+            for device, us, event_id, slot, kind in np.frombuffer(block, "int64").reshape(-1, len(ROWS)).tolist():
+                if begun:
+                    flying.append((us, event_id, (device, slot)))
+                else:
+                    waiting.append((us, event_id, (device, slot), kind))
+        out, rest, flying = settled(waiting, flying, now, self.start, self.limit_us)
+        self._hold([(d, us, e, s, k) for us, e, (d, s), k in rest], [(d, us, e, s, self.start) for us, e, (d, s) in flying])
         if rest:
             self._wake(min(rest)[0])
         if flying:
             self._wake(min(flying)[0] + self.limit_us + 1)
         if out:
-            done = pd.DataFrame(out, columns=["slot", "event_id", "took_us", "status"])
-            yield done.assign(device_id=key[0], took_us=done["took_us"].astype("Int64"))[["device_id", "slot", "event_id", "took_us", "status"]]
+            done = pd.DataFrame([(*slot, *x) for slot, *x in out], columns=["device_id", "slot", "event_id", "took_us", "status"])
+            yield done.assign(took_us=pd.array([x[2] for x in out], dtype="Int64"))
+
+    def _hold(self, waiting: list[tuple], flying: list[tuple]) -> None:
+        blocks = [(np.array(rows, "int64").tobytes(), begun) for rows, begun in ((waiting, False), (flying, True)) if rows]
+        self.held.put(blocks) if blocks else self.held.clear()
 
     def close(self) -> None:
         pass
 
 
-def operations(events: DataFrame, start: int, ends: list[int], limit_us: int, delay: str) -> DataFrame:
+def operations(events: DataFrame, start: int, ends: list[int], limit_us: int, delay: str, shards: int | None = None) -> DataFrame:
     """``device_id, slot, event_id, took_us, status`` of each operation once it has ended or is overdue.
 
     ``events`` is a stream with timestamps; it counts as complete up to ``delay``
@@ -108,8 +125,8 @@ def operations(events: DataFrame, start: int, ends: list[int], limit_us: int, de
     device, slot or time have no operation.
     """
     own = events.where(F.col("type").isin([start, *ends]) & F.col("slot").isNotNull() & F.col("device_id").isNotNull() & F.col("ts").isNotNull())
-    rows = own.withWatermark("ts", delay).select("device_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "slot", "type")
-    return rows.groupBy("device_id").transformWithStateInPandas(Operations(start, limit_us), outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
+    rows = own.withWatermark("ts", delay).select(F.pmod(F.hash("device_id"), F.lit(shards or SHARDS)).alias("shard"), "device_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "slot", "type")
+    return rows.groupBy("shard").transformWithStateInPandas(Operations(start, limit_us), outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
 
 
 def ends_once(deliveries: DataFrame, ends: list[int], delay: str) -> DataFrame:

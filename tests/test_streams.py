@@ -122,6 +122,22 @@ def test_a_timer_fires_without_a_later_event_of_the_device(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(7, 1, 1, None, -11), (8, 1, 2, 3_600_000_000, 0)]
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_calls_follow_shards_and_not_devices(spark, folder, tmp_path, monkeypatch, shards):
+    """Timers, each of which is a call and a state to read, keep to the shards however many devices there are."""
+    monkeypatch.setattr(operations, "SHARDS", shards, raising=False)
+    later(spark, folder)
+    timers = []
+    heard = operations.operations(queries.event_stream(spark, str(folder[0])), 1, [2, 512], DAY, "1 hour")
+    with operations.keyed_state(spark):
+        query = heard.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    for progress in query.recentProgress:
+        timers += [s.customMetrics["numRegisteredTimers"] for s in progress.stateOperators]
+    assert_same(spark.read.schema(heard.schema).parquet(f"{tmp_path}/out"), connect(SF), ORACLE["stream_operations"])
+    assert 0 < sum(timers) <= 4 * shards
+
+
 def test_late_and_repeated_ends_go(spark, tmp_path):
     table = tmp_path / "events.parquet"
     table.mkdir()
